@@ -7,18 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import simhash
+from tidepanel.llm import decontaminate, line_dedup, quality, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    out = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window_words"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_classes(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per removed passage, with its offsets in the original text."""
+    out = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("words").alias("n_words"), F.col("kept_id").alias("kept_doc_id"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = quality.quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "probability")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per removed chunk, with its offsets in the original text."""
+    out = line_dedup.repeated_chunks(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("at").alias("chunk"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("lines").alias("n_lines"), F.col("kept_id").alias("kept_doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, line_dedup, quality, simhash, substring_dedup, toxicity
+from tidepanel.llm import decontaminate, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and whether decoding them gives the text back."""
+    out = sentencepiece_codec.encoded(_table(spark, sf_dir, "documents"), sentencepiece_codec.load())
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed passage, with its offsets in the original text."""
     out = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,69 +13,92 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import fresh_name, is_held_out, slices, texts
+from tidepanel.llm.common import fresh_name, is_held_out, materialise, slices, texts
 
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 #: Bounds of the fitting sample: confirmed toxic documents, and documents of unknown label.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 FEATURES = 1_024
+#: A feature occurs in at least this share of the toxic documents.
+MIN_SHARE = 0.02
+#: Lengths of the word prefixes that count as features.
+PREFIXES = range(4, 10)
+#: Words that a task remembers the features of.
+KNOWN_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by word hash, and the bias; a document's logit adds the weights of its distinct words."""
+    """Weights by feature hash, and the bias; a document's logit adds the weights of its distinct features."""
 
     weights: dict[int, float]
     bias: float
 
-    def score(self, text: str) -> float:
-        w = self.weights
-        logit = self.bias + sum(w.get(h, 0.0) for h in word_set(text)) if w else self.bias
-        return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
+    def scores(self, texts: list[str], known: dict[str, tuple[int, ...]]) -> list[float]:
+        """The texts' scores. ``known`` keeps the features with a weight by word, for the next call."""
+        out = []
+        for text in texts:
+            found: set[int] = set()
+            for word in set(WORD.findall(text.lower())):
+                held = known.get(word)
+                if held is None:
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
+                    held = known[word] = tuple(h for h in word_features(word) if h in self.weights)
+                found.update(held)
+            logit = self.bias + sum(self.weights[h] for h in sorted(found))
+            out.append(1 / (1 + math.exp(-min(50.0, max(-50.0, logit)))))
+        return out
 
 
-def word_set(text: str) -> set[int]:
-    """Hashes of a text's distinct words, in lower case and without punctuation."""
-    return {zlib.crc32(x.encode()) for x in set(WORD.findall(text.lower()))}
+def word_features(word: str) -> list[int]:
+    """Hashes of a word and of its proper prefixes, which stand for inflected and compound forms."""
+    own = [zlib.crc32(word.encode())]
+    return own + [zlib.crc32(f"{word[:k]}+".encode()) for k in PREFIXES if k < len(word)]
 
 
-def _hashed(rows: DataFrame) -> list[tuple[bool, list[int]]]:
-    """``(positive, word hashes)`` of a bounded sample ``(positive, text)``."""
+def features(text: str) -> set[int]:
+    """Hashed features of a text's distinct words, in lower case and without punctuation."""
+    return {h for w in set(WORD.findall(text.lower())) for h in word_features(w)}
+
+
+def _select(sample: DataFrame, n_positive: int, n_unlabelled: int) -> list[int]:
+    """The features that set positive documents most apart: document frequency by log ratio against the unlabelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            words = [sorted(word_set(t)) for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64()))], ["positive", "words"])
-
-    return [(r["positive"], r["words"]) for r in rows.mapInArrow(run, "positive boolean, words array<long>").collect()]
-
-
-def _select(positive: list[list[int]], unlabelled: list[list[int]], features: int) -> list[int]:
-    """The word hashes that set positive documents most apart: document frequency by log ratio against the unlabelled."""
-    counts = []
-    for docs in (positive, unlabelled):
-        ids, n = np.unique(np.concatenate([np.array(d, np.int64) for d in docs] or [np.zeros(0, np.int64)]), return_counts=True)
-        counts.append(dict(zip(ids.tolist(), n.tolist(), strict=True)))
-    least = max(3, 0.005 * len(positive))
-    gain = {}
-    for word, n in counts[0].items():
-        if n >= least:
-            ratio = (n + 0.5) / (len(positive) + 1) / ((counts[1].get(word, 0) + 0.5) / (len(unlabelled) + 1))
-            gain[word] = n * np.log(ratio)
-    return sorted(sorted(gain), key=lambda w: -gain[w])[:features]
-
-
-def _matrix(docs: list[list[int]], words: list[int]) -> np.ndarray:
-    at = {w: k for k, w in enumerate(words)}
-    x = np.zeros((len(docs), len(words)), np.float32)
-    for i, d in enumerate(docs):
-        x[i, [at[w] for w in d if w in at]] = 1
+            for positive, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                found = pa.array(sorted(features(text)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([positive] * len(found), pa.bool_()), found], ["positive", "feature"])
+
+    counted = sample.mapInArrow(run, "positive boolean, feature long").groupBy("feature").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    ratio = (F.col("p") + 0.5) / (n_positive + 1) / ((F.col("u") + 0.5) / (n_unlabelled + 1))
+    gain = counted.filter(F.col("p") >= max(3, MIN_SHARE * n_positive)).select("feature", (F.col("p") * F.log(ratio)).alias("gain"))
+    return [r["feature"] for r in gain.filter("gain > 0").orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()]
+
+
+def _rows(sample: DataFrame, chosen: list[int]) -> list[tuple[bool, list[int]]]:
+    """``(positive, positions of chosen features)`` of the sample."""
+    at = {h: k for k, h in enumerate(chosen)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [sorted(at[h] for h in features(t) if h in at) for t in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
+
+    return sorted((r["positive"], list(r["found"])) for r in sample.mapInArrow(run, "positive boolean, found array<int>").collect())
+
+
+def _matrix(rows: list[list[int]], size: int) -> np.ndarray:
+    x = np.zeros((len(rows), size), np.float32)
+    for i, found in enumerate(rows):
+        x[i, found] = 1
     return x
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 3e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative positive-unlabelled risk under the logistic loss, by Adam.
 
     The risk is ``prior * Rp(+) + max(0, Ru(-) - prior * Rp(-))``. Where the second term turns negative, the
@@ -118,21 +142,24 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
     marked = _sample(known.filter("y = 1"), max_positive).withColumn("positive", F.lit(True))
     unmarked = _sample(rows.filter("id is not null").filter(~held), max_unlabelled).withColumn("positive", F.lit(False))
     taken = F.broadcast(marked.union(unmarked))  # at most max_positive + max_unlabelled ids
-    sample = _hashed(rows.join(taken, "id").select("positive", "text"))
-    positive, unlabelled = [sorted(w for p, w in sample if p), sorted(w for p, w in sample if not p)]
-    words = _select(positive, unlabelled, FEATURES) if positive else []
-    if not words:
-        return Model({}, float(np.log(prior / (1 - prior))))
-    weights, bias = fit_nnpu(_matrix(positive, words), _matrix(unlabelled, words), prior)
-    return Model(dict(zip(words, weights.tolist(), strict=True)), bias)
+    sample = materialise(rows.join(taken, "id").select("positive", "text"), "sample")
+    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    chosen = _select(sample, sizes[True], sizes.get(False, 0)) if sizes.get(True) else []
+    if not chosen:
+        return Model({}, math.log(prior / (1 - prior)))
+    found = _rows(sample, chosen)
+    positive, unlabelled = (_matrix([f for p, f in found if p == side], len(chosen)) for side in (True, False))
+    weights, bias = fit_nnpu(positive, unlabelled, prior)
+    return Model(dict(zip(chosen, weights.tolist(), strict=True)), bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` of every row, over the whole text, 0 to 1; null and empty texts get the score of no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in texts(b.column(1))], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(texts(b.column(1)), known), pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
 
@@ -145,8 +172,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
         for b in slices(batches):
-            yield b.append_column(verdict, pa.array([model.score(t) for t in texts(b.column(at))], pa.float64()))
+            yield b.append_column(verdict, pa.array(model.scores(texts(b.column(at)), known), pa.float64()))
 
     return docs.mapInArrow(run, schema).filter(F.col(verdict) < threshold).drop(verdict)
 

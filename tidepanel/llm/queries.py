@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
+from tidepanel.llm import decontaminate, html_text, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from tidepanel.llm.common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages written as WARC records and read back; size and digest are taken from the payload that was read."""
+    path = new_path(spark, "warc")
+    warc.write_warc(warc.page_records(_table(spark, sf_dir, "pages")), path)
+    back = warc.read_warc(spark, path)
+    return back.select(
+        warc.page_of("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"),
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether decoding them gives the text back."""
     out = sentencepiece_codec.encoded(_table(spark, sf_dir, "documents"), sentencepiece_codec.load())
@@ -48,6 +63,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "probability")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed chunk, with its offsets in the original text."""
     out = line_dedup.repeated_chunks(_table(spark, sf_dir, "documents"))
@@ -58,5 +77,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: Word-by-word alignment on each offset, without seeds; the masks find every window that this accepts.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS at FROM d),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS at FROM i),
+m AS (SELECT doc_id, item_id, n, iw.at AS at, dw.at - iw.at AS diagonal FROM dw JOIN iw USING (word)),
+c AS (SELECT doc_id, item_id, least(13, n) AS size, count(*) OVER (PARTITION BY doc_id, item_id, n, diagonal ORDER BY at RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM m WHERE n >= 6)
+SELECT doc_id, item_id, CAST(max(k) AS BIGINT) AS matched, CAST(max(size) AS BIGINT) AS window_words FROM c WHERE k >= 0.8 * size GROUP BY doc_id, item_id
+"""
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND p.payload_bytes >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op4_warc": OP4_SQL}

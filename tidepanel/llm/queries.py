@@ -83,8 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Word-by-word alignment on each offset, without seeds; the masks find every window that this accepts.
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM documents),
-i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS at FROM d),
 iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS at FROM i),
 m AS (SELECT doc_id, item_id, n, iw.at AS at, dw.at - iw.at AS diagonal FROM dw JOIN iw USING (word)),

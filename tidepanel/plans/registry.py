@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidepanel.plans import windows
+from tidepanel.plans import cross, windows
 
-TABLE = {**windows.TABLE}
+TABLE = {**windows.TABLE, **cross.TABLE}

@@ -7,12 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TRADING_DAYS = 252
-TICKER = Window.partitionBy("ticker").orderBy("date")
-DATE = Window.partitionBy("date")
+
+
+def by_ticker() -> WindowSpec:
+    """A ticker's rows in date order; made on call, for a window needs a running session."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def col(x: Column | str) -> Column:
@@ -21,7 +28,7 @@ def col(x: Column | str) -> Column:
 
 def lag(x: Column | str, n: int = 1) -> Column:
     """The ticker's value n rows back; negative n looks ahead."""
-    return F.lag(col(x), n).over(TICKER) if n >= 0 else F.lead(col(x), -n).over(TICKER)
+    return F.lag(col(x), n).over(by_ticker()) if n >= 0 else F.lead(col(x), -n).over(by_ticker())
 
 
 def div(a: Column | str, b: Column | str) -> Column:
@@ -31,7 +38,7 @@ def div(a: Column | str, b: Column | str) -> Column:
 
 def rolling(f: Callable[[Column], Column], x: Column | str, n: int, least: int | None = None) -> Column:
     """An aggregate over the ticker's last n rows, null with fewer than ``least`` (default n // 2) values."""
-    frame = TICKER.rowsBetween(1 - n, 0)
+    frame = by_ticker().rowsBetween(1 - n, 0)
     return F.when(F.count(col(x)).over(frame) >= (n // 2 if least is None else least), f(col(x)).over(frame))
 
 
@@ -97,7 +104,7 @@ def ewm(x: Column | str, alpha: float, reach: int, adjust: bool = True) -> Colum
     The frame bounds the work per row; with reach = 40 / alpha the weight beyond it is under 1e-17. Unadjusted,
     the oldest value of the history has the weight (1 - alpha) ** age, as in a recursion that starts there.
     """
-    frame = F.collect_list(col(x)).over(TICKER.rowsBetween(1 - reach, 0))
+    frame = F.collect_list(col(x)).over(by_ticker().rowsBetween(1 - reach, 0))
     keep = 1 - alpha
     sums = F.aggregate(
         frame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import TICKER, div, lag
+from tidepanel.functions.columns import by_ticker, div, lag
 
 
 def adjust(bars: DataFrame, adjusted: str) -> DataFrame:
@@ -20,7 +20,7 @@ def densify(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     life = bars.groupBy("ticker").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
     # one row, an array as long as the calendar
     grid = life.crossJoin(F.broadcast(days)).select("ticker", F.explode(F.filter("_days", lambda d: (d >= F.col("_from")) & (d <= F.col("_to")))).alias("date"))
-    past = TICKER.rowsBetween(Window.unboundedPreceding, 0)
+    past = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     both = grid.join(bars, ["ticker", "date"], "left")
     return both.withColumn("close", F.last("close", ignorenulls=True).over(past)).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import DATE, demean, div, norm_ppf, rank_pct, residual, zscore
+from tidepanel.functions.columns import by_date, demean, div, norm_ppf, rank_pct, residual, zscore
 
 
 def cross_rank(panel: DataFrame, x: str) -> DataFrame:
@@ -52,13 +52,13 @@ def two_factor_neutral(panel: DataFrame, y: str, x1: str, x2: str, least: int =
     ok = F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull()
     b = panel
     for name in (y, x1, x2):
-        b = b.withColumn(f"_c_{name}", F.when(ok, F.col(name) - F.avg(F.when(ok, F.col(name))).over(DATE)))
+        b = b.withColumn(f"_c_{name}", F.when(ok, F.col(name) - F.avg(F.when(ok, F.col(name))).over(by_date())))
     a, c, d = (F.col(f"_c_{n}") for n in (x1, x2, y))
-    s11, s22, s12, s1y, s2y = (F.sum(v).over(DATE) for v in (a * a, c * c, a * c, a * d, c * d))
+    s11, s22, s12, s1y, s2y = (F.sum(v).over(by_date()) for v in (a * a, c * c, a * c, a * d, c * d))
     det = s11 * s22 - s12 * s12
     b1, b2 = div(s1y * s22 - s2y * s12, det), div(s2y * s11 - s1y * s12, det)
     fitted = d - b1 * a - b2 * c
-    enough = (F.count(F.when(ok, 1)).over(DATE) >= least) & b1.isNotNull() & ok
+    enough = (F.count(F.when(ok, 1)).over(by_date()) >= least) & b1.isNotNull() & ok
     return b.withColumn("value", F.when(enough, fitted).otherwise(F.col(y))).drop(*[f"_c_{n}" for n in (y, x1, x2)])
 
 
@@ -108,8 +108,8 @@ def volatility_buckets(panel: DataFrame, score: str, vol: str, per_bucket: int =
 def capped_weights(panel: DataFrame, score: Column | str, low: float = 0.02, high: float = 0.15, rounds: int = 5) -> DataFrame:
     """Weights in proportion to score, clipped and scaled to one a fixed number of times."""
     b = panel.withColumn("value", F.col(score) if isinstance(score, str) else score)
-    b = b.withColumn("value", div("value", F.sum("value").over(DATE)))
+    b = b.withColumn("value", div("value", F.sum("value").over(by_date())))
     for _ in range(rounds):
         b = b.withColumn("value", F.greatest(F.lit(low), F.least(F.lit(high), F.col("value"))))
-        b = b.withColumn("value", div("value", F.sum("value").over(DATE)))
+        b = b.withColumn("value", div("value", F.sum("value").over(by_date())))
     return b

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import TICKER, rank_pct
+from tidepanel.functions.columns import by_ticker, rank_pct
 
 GRADES = (0.2, 0.4, 0.6, 0.8, 0.95)
 
 
 def graded_labels(bars: DataFrame, window: int = 5) -> DataFrame:
     """Grade 0 to 5 of the forward return's rank on its date; null on a ticker's last rows."""
-    frame = TICKER.rowsBetween(1, window)
+    frame = by_ticker().rowsBetween(1, window)
     b = bars.withColumn("_f", F.when(F.count("ret").over(frame) == window, F.round(F.sum("ret").over(frame), 9)))
     b = b.withColumn("_r", rank_pct("_f"))
     grade = sum(((F.col("_r") > g).cast("int") for g in GRADES), F.lit(0))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import TRADING_DAYS, div, norm_cdf
 
 YEAR = TRADING_DAYS**0.5
-BY = Window.partitionBy("strategy_id").orderBy("date")
+
+
+def by_strategy() -> WindowSpec:
+    return Window.partitionBy("strategy_id").orderBy("date")
 
 
 def _growth(x: str = "ret") -> Column:
@@ -17,7 +20,7 @@ def _growth(x: str = "ret") -> Column:
 
 def with_drawdown(returns: DataFrame) -> DataFrame:
     """Adds log wealth ``_lw`` and the drawdown from the running maximum, the start included."""
-    past = BY.rowsBetween(Window.unboundedPreceding, 0)
+    past = by_strategy().rowsBetween(Window.unboundedPreceding, 0)
     b = returns.withColumn("_lw", F.sum(_growth()).over(past))
     return b.withColumn("drawdown", F.expm1(F.col("_lw") - F.greatest(F.lit(0.0), F.max("_lw").over(past))))
 
@@ -60,8 +63,8 @@ def probabilistic_sharpe(returns: DataFrame, target: float = 0.0) -> DataFrame:
 def drawdown_spells(returns: DataFrame) -> DataFrame:
     """Number and mean length of the completed drawdowns."""
     b = with_drawdown(returns).withColumn("_in", (F.col("drawdown") < -1e-12).cast("int"))
-    b = b.withColumn("_new", F.when((F.col("_in") == 1) & (F.coalesce(F.lag("_in").over(BY), F.lit(0)) == 0), 1).otherwise(0))
-    b = b.withColumn("_spell", F.sum("_new").over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("_new", F.when((F.col("_in") == 1) & (F.coalesce(F.lag("_in").over(by_strategy()), F.lit(0)) == 0), 1).otherwise(0))
+    b = b.withColumn("_spell", F.sum("_new").over(by_strategy().rowsBetween(Window.unboundedPreceding, 0)))
     last = F.max("date").over(Window.partitionBy("strategy_id"))
     spells = b.withColumn("_last", last).filter("_in = 1").groupBy("strategy_id", "_spell", "_last").agg(F.count("*").alias("length"), F.max("date").alias("to"))
     return spells.filter("to < _last").groupBy("strategy_id").agg(F.count("*").alias("spells"), F.avg("length").alias("mean_length"))

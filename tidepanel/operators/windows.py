@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import DATE, TICKER, TRADING_DAYS, change, clip, div, ewm, lag, mean, momentum, rank_pct, rolling, std, total, zscore
+from tidepanel.functions.columns import by_date, by_ticker, TRADING_DAYS, change, clip, div, ewm, lag, mean, momentum, rank_pct, rolling, std, total, zscore
 
 YEAR = math.sqrt(TRADING_DAYS)
 
@@ -18,7 +18,7 @@ def _value(bars: DataFrame, x: Column) -> DataFrame:
 
 def _market(bars: DataFrame) -> DataFrame:
     """Adds the equal-weight market return ``mkt`` and the excess ``excess``."""
-    m = F.avg("ret").over(DATE)
+    m = F.avg("ret").over(by_date())
     return bars.withColumn("mkt", m).withColumn("excess", F.col("ret") - F.col("mkt"))
 
 
@@ -40,7 +40,7 @@ def zscore_reversion(bars: DataFrame, window: int = 20) -> DataFrame:
 
 def rolling_rank(bars: DataFrame, column: str = "close", lookback: int = 252, least: int = 60) -> DataFrame:
     """Percentile rank of the current value in its own last rows, ties averaged."""
-    frame = F.collect_list(column).over(TICKER.rowsBetween(1 - lookback, 0))
+    frame = F.collect_list(column).over(by_ticker().rowsBetween(1 - lookback, 0))
     x = F.col(column)
     b = bars.withColumn("_frame", frame)
     below = F.size(F.filter("_frame", lambda v: v < x))
@@ -52,7 +52,7 @@ def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
     b = bars.withColumn("_d", F.col("close") - lag("close"))
     b = b.withColumn("_gain", F.greatest(F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0))).withColumn("_loss", F.greatest(-F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0)))
     b = b.withColumn("_g", ewm("_gain", 1 / window, 40 * window, adjust=False)).withColumn("_l", ewm("_loss", 1 / window, 40 * window, adjust=False))
-    seen = F.count("_d").over(TICKER.rowsBetween(Window.unboundedPreceding, 0)) >= window
+    seen = F.count("_d").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) >= window
     return _value(b, F.when(seen, 50 - (100 - 100 / (1 + div("_g", "_l"))))).drop("_d", "_gain", "_loss", "_g", "_l")
 
 
@@ -71,7 +71,7 @@ def ema_smooth(bars: DataFrame, column: str = "ret", halflife: float = 5.0) -> D
 
 def fill_forward(bars: DataFrame, column: str = "close", limit: int = 180) -> DataFrame:
     """The last non-null value, carried at most ``limit`` rows."""
-    return _value(bars, F.last(column, ignorenulls=True).over(TICKER.rowsBetween(-limit, 0)))
+    return _value(bars, F.last(column, ignorenulls=True).over(by_ticker().rowsBetween(-limit, 0)))
 
 
 def realized_volatility(bars: DataFrame, window: int = 21) -> DataFrame:
@@ -117,7 +117,7 @@ def market_beta(bars: DataFrame, window: int = 63) -> DataFrame:
 
 
 def obv(bars: DataFrame, window: int = 20) -> DataFrame:
-    b = bars.withColumn("_s", F.coalesce(F.signum("ret") * F.col("volume"), F.lit(0.0))).withColumn("_o", F.sum("_s").over(TICKER.rowsBetween(Window.unboundedPreceding, 0)))
+    b = bars.withColumn("_s", F.coalesce(F.signum("ret") * F.col("volume"), F.lit(0.0))).withColumn("_o", F.sum("_s").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)))
     return _value(b, div(F.col("_o") - mean("_o", 3 * window, window), std("_o", 3 * window, window))).drop("_s", "_o")
 
 
@@ -210,7 +210,7 @@ def tail_dependence(bars: DataFrame, window: int = 126, q: float = 0.1) -> DataF
 
 def rolling_covariance_beta(bars: DataFrame, window: int = 126, least: int = 60) -> DataFrame:
     """Sample covariance with the market over its sample variance."""
-    frame = TICKER.rowsBetween(1 - window, 0)
+    frame = by_ticker().rowsBetween(1 - window, 0)
     b = _market(bars)
     return _value(b, F.when(F.count("ret").over(frame) >= least, div(F.covar_samp("ret", "mkt").over(frame), F.var_samp(F.when(F.col("ret").isNotNull(), F.col("mkt"))).over(frame))))
 
@@ -241,7 +241,7 @@ def factor_momentum(series: DataFrame, lookback: int = 252, skip: int = 21) -> D
 
 
 def drawdown(bars: DataFrame, column: str = "close") -> DataFrame:
-    return _value(bars, div(column, F.max(column).over(TICKER.rowsBetween(Window.unboundedPreceding, 0))) - 1)
+    return _value(bars, div(column, F.max(column).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))) - 1)
 
 
 def rolling_sharpe(bars: DataFrame, window: int = 126) -> DataFrame:
@@ -252,7 +252,7 @@ def wealth(bars: DataFrame, initial: float = 100_000.0) -> DataFrame:
     """Cumulative product of 1 + ret, floored so that a total loss stays near zero."""
     growth = F.greatest(F.coalesce("ret", F.lit(0.0)), F.lit(-0.999999))
     b = bars.withColumn("_g", F.log1p(growth))
-    return _value(b, initial * F.exp(F.sum("_g").over(TICKER.rowsBetween(Window.unboundedPreceding, 0)))).drop("_g")
+    return _value(b, initial * F.exp(F.sum("_g").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)))).drop("_g")
 
 
 def change_rank(bars: DataFrame, column: str = "volume", lookback: int = 5) -> DataFrame:
@@ -274,7 +274,7 @@ def leave_one_out_sector(bars: DataFrame, sectors: DataFrame, window: int = 63)
 
 def forward_return(bars: DataFrame, window: int = 5) -> DataFrame:
     """Sum of the next ``window`` returns; null on the last rows."""
-    frame = TICKER.rowsBetween(1, window)
+    frame = by_ticker().rowsBetween(1, window)
     return _value(bars, F.when(F.count("ret").over(frame) == window, F.sum("ret").over(frame)))
 
 
@@ -290,7 +290,7 @@ def trend_regime(bars: DataFrame, window: int = 200) -> DataFrame:
 
 def spells(bars: DataFrame, state: str = "value") -> DataFrame:
     """Runs of equal state per ticker: first and last date and length."""
-    b = bars.withColumn("_new", (~F.col(state).eqNullSafe(lag(state))).cast("int")).withColumn("_run", F.sum("_new").over(TICKER.rowsBetween(Window.unboundedPreceding, 0)))
+    b = bars.withColumn("_new", (~F.col(state).eqNullSafe(lag(state))).cast("int")).withColumn("_run", F.sum("_new").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)))
     return b.groupBy("ticker", "_run", state).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("length")).drop("_run")
 
 

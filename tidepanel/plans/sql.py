@@ -78,4 +78,4 @@ def query(*steps: dict[str, str] | str, value: str | None = "value", base: str =
 
 
 def rounded(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+    return ", ".join(f"round(CAST({n} AS DOUBLE), 6) + 0.0 AS {n}" for n in names)

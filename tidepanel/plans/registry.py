@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidepanel.plans import cross, streams, tables_sql, windows
+from tidepanel.plans import cross, signals_sql, streams, tables_sql, windows
 
-TABLE = {**windows.TABLE, **cross.TABLE, **tables_sql.TABLE, **streams.TABLE}
+TABLE = {**windows.TABLE, **cross.TABLE, **tables_sql.TABLE, **streams.TABLE, **signals_sql.TABLE}

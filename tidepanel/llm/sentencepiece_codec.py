@@ -17,7 +17,7 @@ from tidepanel.llm.common import slices, texts
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units (words with the spaces before them) whose ids a Python worker remembers, and pairs of pieces.
-KNOWN_UNITS, KNOWN_PAIRS = 400_000, 500_000
+KNOWN_UNITS, KNOWN_PAIRS = 250_000, 500_000
 #: Characters between two attempts to commit.
 COMMIT_EVERY = 64
 
@@ -31,13 +31,15 @@ class Vocabulary:
     byte_ids: list[int]
     surface: list[bytes]
     longest: int
-    suffixes: set[str]
+    suffixes: dict[str, bool]
+    neighbours: set[str]
     alone: str = ""
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    older: dict[str, tuple[int, ...]] = field(default_factory=dict)
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "pairs": {}}
+        return self.__dict__ | {"known": {}, "older": {}, "pairs": {}}
 
 
 def load(path: str = MODEL_PATH) -> Vocabulary:
@@ -60,7 +62,9 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
     if any(SPACE in x.lstrip(SPACE) for x in ids):
         raise ValueError("a piece has a space after another character; units would not be independent")
     merged = set(chain.from_iterable(x for x in ids if len(x) > 1))
-    return Vocabulary(ids, scores, byte_ids, surface, max(map(len, ids)), {x[k:] for x in ids for k in range(len(x))}, "".join(c for c in "\n\t\r" if c not in merged))
+    suffixes = {x[k:]: x[k:] in ids for x in ids for k in range(len(x))}
+    neighbours = {x[k : k + 2] for x in ids for k in range(len(x) - 1)}
+    return Vocabulary(ids, scores, byte_ids, surface, max(map(len, ids)), suffixes, neighbours, "".join(c for c in "\n\t\r" if c not in merged))
 
 
 def merges(text: str, v: Vocabulary) -> list[str]:
@@ -91,39 +95,39 @@ def stream(text: str, v: Vocabulary) -> Iterator[tuple[str, ...]]:
     boundaries, so only their paths survive; once these share an older boundary, all before it is yielded
     and forgotten. A character that is no piece stands alone.
     """
-    back: dict[int, int] = {0: 0}  # boundary -> where its last piece starts
-    done, longest, suffixes, scores, known = 0, v.longest, v.suffixes, v.scores, v.pairs
+    back, base = [0], 0  # where the last piece starts that ends at each boundary from base on
+    longest, suffixes, known = v.longest, v.suffixes, v.pairs
     for end in range(1, len(text) + 1):
-        if text[end - 1] not in suffixes:
-            back[end] = end - 1
-        for start in range(end - 1, max(done, end - longest) - 1, -1):
+        found = -1
+        for start in range(end - 1, max(base, end - longest) - 1, -1):
             piece = text[start:end]
-            if piece not in suffixes:
+            whole = suffixes.get(piece)
+            if whole is None:
                 break
-            if piece in scores and start in back:
-                pair = (text[back[start] : start], piece)
+            if whole and back[start - base] >= 0:
+                pair = (text[back[start - base] : start], piece)
                 if known[pair] if pair in known else _follows(*pair, v):
-                    back[end] = start
+                    found = start
                     break
+        back.append(found if found >= 0 or text[end - 1] in suffixes else end - 1)
         if end % COMMIT_EVERY == 0:
-            alive = {b for b in range(max(done, end - longest + 1), end + 1) if b in back}
+            alive = {b for b in range(max(base, end - longest + 1), end + 1) if back[b - base] >= 0}
             while len(alive) > 1:
                 top = max(alive)
                 alive.remove(top)
-                alive.add(back[top])
-            if (meet := alive.pop()) > done:
-                yield _path(text, back, done, meet)
-                back = {b: s for b, s in back.items() if b >= meet}
-                done = meet
-                # the piece before the new start still decides what may follow it
-    yield _path(text, back, done, len(text))
+                alive.add(back[top - base])
+            if (meet := alive.pop()) > base:
+                yield _path(text, back, base, meet)
+                # the piece before the new base still decides what may follow it
+                back, base = back[meet - base :], meet
+    yield _path(text, back, base, len(text))
 
 
-def _path(text: str, back: dict[int, int], done: int, end: int) -> tuple[str, ...]:
+def _path(text: str, back: list[int], base: int, end: int) -> tuple[str, ...]:
     out = []
-    while end > done:
-        out.append(text[back[end] : end])
-        end = back[end]
+    while end > base:
+        out.append(text[back[end - base] : end])
+        end = back[end - base]
     return tuple(reversed(out))
 
 
@@ -137,10 +141,33 @@ def _run(n: int, v: Vocabulary) -> list[str]:
     return parts
 
 
+def _parts(unit: str, v: Vocabulary) -> Iterator[str]:
+    """The unit cut where no piece has the two characters next to each other; the paths of each side cannot meet the other's."""
+    start, near = 0, v.neighbours
+    for k in range(1, len(unit)):
+        if unit[k - 1 : k + 1] not in near:
+            yield unit[start:k]
+            start = k
+    yield unit[start:]
+
+
 def _unit(unit: str, v: Vocabulary) -> tuple[int, ...]:
-    """Ids of spaces followed by a word. The word takes the last space into its pieces before spaces merge, as their scores are lowest."""
-    word = unit.lstrip(SPACE)
-    spaces = len(unit) - len(word)
+    """Ids of a unit from those of its parts, of which short ones are remembered too."""
+    out: tuple[int, ...] = ()
+    for part in _parts(unit, v):
+        ids = v.known.get(part)
+        if ids is None:
+            ids = v.older.get(part) or _part(part, v)
+            if len(part) <= COMMIT_EVERY:
+                v.known[part] = ids
+        out += ids
+    return out
+
+
+def _part(part: str, v: Vocabulary) -> tuple[int, ...]:
+    """Ids of spaces followed by other characters. Those take the last space into their pieces before spaces merge, as the scores of these are lowest."""
+    word = part.lstrip(SPACE)
+    spaces = len(part) - len(word)
     pieces = list(chain.from_iterable(stream(SPACE * min(1, spaces) + word, v))) if word else []
     if spaces:
         if pieces and pieces[0] == SPACE:
@@ -168,10 +195,11 @@ def encode(text: str, v: Vocabulary, pattern: re.Pattern[str]) -> list[int]:
     for unit in pattern.findall(SPACE + text.replace(" ", SPACE)) if text else ():
         ids = known.get(unit)
         if ids is None:
-            ids = _unit(unit, v)
+            if len(known) >= KNOWN_UNITS:  # what was used since the last change stays
+                v.older, v.known = known, {}
+                known = v.known
+            ids = v.older.get(unit) or _unit(unit, v)
             if len(unit) <= COMMIT_EVERY:
-                if len(known) >= KNOWN_UNITS:
-                    known.clear()
                 known[unit] = ids
         out += ids
     return out

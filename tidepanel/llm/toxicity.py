@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ FEATURES = 1_024
 MIN_SHARE = 0.02
 #: Lengths of the word prefixes that count as features.
 PREFIXES = range(4, 10)
+#: Numbers of occurrences that are features of their own.
+REPEATS = (2, 4)
 #: Words that a task remembers the features of.
 KNOWN_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -37,18 +40,19 @@ class Model:
     bias: float
 
     def scores(self, texts: list[str], known: dict[str, tuple[int, ...]]) -> list[float]:
-        """The texts' scores. ``known`` keeps the features with a weight by word, for the next call."""
-        out = []
+        """The texts' scores. ``known`` keeps by word the features that have a weight in any number, for the next call."""
+        out, used = [], self.weights.keys()
         for text in texts:
-            found: set[int] = set()
-            for word in set(WORD.findall(text.lower())):
+            counts: Counter[int] = Counter()
+            for word, n in Counter(WORD.findall(text.lower())).items():
                 held = known.get(word)
                 if held is None:
                     if len(known) >= KNOWN_WORDS:
                         known.clear()
-                    held = known[word] = tuple(h for h in word_features(word) if h in self.weights)
-                found.update(held)
-            logit = self.bias + sum(self.weights[h] for h in sorted(found))
+                    held = known[word] = tuple(h for h in word_features(word) if not used.isdisjoint((h, *(h << 3 | t for t in REPEATS))))
+                for h in held:
+                    counts[h] += n
+            logit = self.bias + sum(self.weights[h] for h in sorted(counted(counts) & used))
             out.append(1 / (1 + math.exp(-min(50.0, max(-50.0, logit)))))
         return out
 
@@ -59,9 +63,21 @@ def word_features(word: str) -> list[int]:
     return own + [zlib.crc32(f"{word[:k]}+".encode()) for k in PREFIXES if k < len(word)]
 
 
+def counted(counts: Counter[int]) -> set[int]:
+    """The features of a text: those that occur, and apart from them those that occur at least twice and four times."""
+    out = set(counts)
+    for times in REPEATS:
+        out.update(h << 3 | times for h, n in counts.items() if n >= times)
+    return out
+
+
 def features(text: str) -> set[int]:
-    """Hashed features of a text's distinct words, in lower case and without punctuation."""
-    return {h for w in set(WORD.findall(text.lower())) for h in word_features(w)}
+    """Hashed features of a text's words, in lower case and without punctuation."""
+    counts: Counter[int] = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for h in word_features(word):
+            counts[h] += n
+    return counted(counts)
 
 
 def _select(sample: DataFrame, n_positive: int, n_unlabelled: int) -> list[int]:

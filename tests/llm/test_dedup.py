@@ -107,6 +107,37 @@ def test_repeated_chunks(spark):
     assert sum(len(s) for s in got.values()) > 40
 
 
+def brute_runs(rows):
+    """The repeated lines of each document, from all pairs of lines in order."""
+    first, out = {}, {}
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (text or "").splitlines()
+        gone = set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if any(pair):
+                at = first.setdefault(pair, (doc, k))
+                gone |= set() if at == (doc, k) else {k + 1} if at == (doc, k - 1) else {k, k + 1}
+        out[doc] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+def test_every_repeated_run_goes_whatever_stands_around_it(spark):
+    rng = random.Random(3)
+    rows = [(k, "\n".join([f"own {k} {j}" for j in range(rng.randrange(1, 5))] + [f"shared {k // 2} {j}" for j in range(2 + k // 2 % 4)] + [f"tail {k} {j}" for j in range(rng.randrange(3))])) for k in range(40)]
+    rows += [*line_rows()[:20], (50, "same\nsame\nsame\nsame"), (51, "a\nb\na\nb\na"), (52, "\n\n\n\n"), (None, rows[4][1]), (99, None)]
+    rows = [(k + 1000 if n >= 40 and k is not None and k < 40 else k, t) for n, (k, t) in enumerate(rows)]
+    got = {r["doc_id"]: [x for x in (r["text"] or "").splitlines()] for r in L.drop_repeated_runs(frame(spark, rows)).collect()}
+    assert got == brute_runs(rows)
+    assert all(x.startswith(("own", "tail")) for k in range(1, 40, 2) for x in got[k])
+    assert got[50] == ["same", "same"] and got[51] == ["a", "b"]
+
+
+def test_runs_are_equal_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(L.xxhash, "xxh128_digest", lambda _: bytes(16))
+    assert L.repeated_runs(frame(spark, [(1, "a\nb\nc\nd"), (2, "e\nf\ng\nh")])).collect() == []
+    assert L.repeated_runs(frame(spark, [])).collect() == []
+
+
 def test_chunks_cover_text_and_resist_shifts():
     text = "\n".join(f"line {k}" for k in range(200))
     parts = list(L.chunks(text))

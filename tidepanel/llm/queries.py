@@ -72,8 +72,8 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per removed chunk, with its offsets in the original text."""
-    out = line_dedup.repeated_chunks(_table(spark, sf_dir, "documents"))
+    """One row per removed run of lines, with its offsets in the original text; chunk is the number of its first line."""
+    out = line_dedup.repeated_runs(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("at").alias("chunk"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("lines").alias("n_lines"), F.col("kept_id").alias("kept_doc_id"))
 
 

@@ -27,6 +27,28 @@ def test_small_pages(page, text):
     assert H.main_text(page) == text
 
 
+PARTS = [" ".join(f"part{k} paragraph{j}" for _ in range(18)) for k in range(2) for j in range(4)]
+HALVES = ["".join(f"<p>{p}</p>" for p in PARTS[:4]), "".join(f"<p>{p}</p>" for p in PARTS[4:])]
+MENU = "<div><a href=a>one</a><a href=b>two</a><a href=c>three</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{MENU}<div id=content><div>{HALVES[0]}</div><div>{HALVES[1]}</div></div>{MENU}</body>",
+        f"<body>{MENU}<main><article>{HALVES[0]}</article><article>{HALVES[1]}</article></main>{MENU}</body>",
+        f"<body>{MENU}<article>{HALVES[0]}</article><article>{HALVES[1]}</article>{MENU}</body>",
+    ],
+)
+def test_article_in_several_sections(page):
+    assert H.main_text(page).split("\n\n") == PARTS
+
+
+def test_self_closed_raw_elements_are_empty():
+    assert H.main_text('<script src="x"/><svg /><p>text</p>') == "text"
+    assert H.main_text("<script src=/x/>code</script><p>text</p>") == "text"
+
+
 def test_deep_and_long_pages():
     assert H.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert len(H.main_text("<article>" + f"<p>{LONG}</p>" * 5_000 + "</article>")) > 300_000

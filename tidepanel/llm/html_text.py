@@ -16,6 +16,8 @@ from tidepanel.llm.common import slices, texts
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A slash that ends the tag, not an unquoted value.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 # fixed values: element and class names of HTML pages
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select title svg object".split())
@@ -106,6 +108,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 now = now.parent or root
             continue
         if name in RAW:
+            if SELF_CLOSED.search(m[3] or m[6] or ""):
+                continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -176,23 +180,51 @@ def _measure(nodes: list[Node]) -> None:
                 n.parent.total += n.density
 
 
-def _article(nodes: list[Node]) -> Node | None:
-    """The subtree of the largest density sum, widened to the article around it while that is as dense as the threshold on the way to the body."""
+def _article(nodes: list[Node]) -> list[Node]:
+    """The subtrees that make up the article, in page order.
+
+    The subtree of the largest density sum sets the threshold: the least density on its way to the body. From the
+    body down, each subtree that reaches it gives its own subtree of the largest sum. On pages that mark their
+    article, that element is taken instead: the nearest around the largest sum if the page has one article, the
+    whole main element if several are in it.
+    """
     body = next((n for n in nodes if n.tag == "body" and not n.noise), nodes[0])
-    best = None
-    for n in nodes:
-        if not n.noise and n.chars and (best is None or n.total > best.total):
-            best = n
+    held = [n for n in nodes if not n.noise and n.chars]
+    best = max(held, key=lambda n: n.total, default=None)
     if best is None:
-        return None
+        return []
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    for n in path[1:]:
-        if n.tag in CONTENT and n.density >= threshold:
-            return n
-    return best
+    marked = [n for n in path if n.tag in CONTENT]
+    if marked:
+        inside: set[int] = set()
+        articles = 0
+        for n in held:
+            articles += n.tag == "article" and id(n.parent) not in inside
+            if n.tag == "article" or id(n.parent) in inside:
+                inside.add(id(n))
+        if articles <= 1:
+            return marked[:1]
+        if marked[-1].tag == "main":
+            return marked[-1:]
+    # an article that is one of several stands for itself; else the first of the largest sums below, itself included
+    top: dict[int, Node] = {id(n): n for n in held}
+    for n in reversed(held):
+        if n.tag != "article":
+            for c in n.children():
+                if id(c) in top and top[id(c)].total > top[id(n)].total:
+                    top[id(n)] = top[id(c)]
+    kept: dict[int, Node] = {}
+    left = [body]
+    while left:
+        n = left.pop()
+        if id(n) in top and n.density >= threshold:
+            kept[id(top[id(n)])] = top[id(n)]
+            if top[id(n)] is not n:
+                left += n.children()
+    return [n for n in held if id(n) in kept]
 
 
 def main_text(page: str) -> str:
@@ -200,11 +232,8 @@ def main_text(page: str) -> str:
     _, nodes = parse(page)
     _mark_noise(nodes)
     _measure(nodes)
-    top = _article(nodes)
-    if top is None:
-        return ""
     blocks: list[list[str]] = [[]]
-    stack: list[str | Node | None] = [top]
+    stack: list[str | Node | None] = [p for n in reversed(_article(nodes)) for p in (None, n)]
     while stack:
         part = stack.pop()
         if part is None:

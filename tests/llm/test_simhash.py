@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import xxhash
 
 from tidepanel.llm import simhash
@@ -77,13 +78,20 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted(i for i, _ in found if i is not None) == sorted({c for _, _, c in whole if c is not None})
 
 
-def test_links_cover_dense_balls(spark):
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 5, 1])
+def test_links_cover_dense_balls(spark, bucket):
     rng = random.Random(1)
     centre = rng.getrandbits(63)
-    prints = sorted({centre ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(300)} | {rng.getrandbits(63) for _ in range(50)})
+    prints = {centre ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(300)} | {rng.getrandbits(63) for _ in range(50)}
+    prints |= {(centre & 0xFFFFFFFF) | rng.getrandbits(31) << 32 for _ in range(60)}  # one segment in common, all else not
+    prints = sorted(prints | {p - (1 << 63) for p in list(prints)[:40]})
     df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
-    pairs = {(r[0], r[1]) for r in simhash.near_links(df).collect()}
-    assert all((u ^ v).bit_count() <= 2 for u, v in pairs)
+    pairs = {(r[0], r[1]) for r in simhash.near_links(df, bucket).collect()}
+
+    def apart(u, v):
+        return ((u ^ v) & (1 << 64) - 1).bit_count()
+
+    assert all(apart(u, v) <= 2 for u, v in pairs)
     root = {p: p for p in prints}
 
     def find(x):
@@ -95,10 +103,23 @@ def test_links_cover_dense_balls(spark):
         root[find(u)] = find(v)
     for i, u in enumerate(prints):
         for v in prints[:i]:
-            if (u ^ v).bit_count() <= 2:
+            if apart(u, v) <= 2:
                 assert find(u) == find(v)
 
 
+def test_looked_up_fingerprints_can_be_too_far(spark):
+    near, far = 0b111 << 32, 0b1 << 40
+    df = spark.createDataFrame([(0,), (near,), (far,)], "fingerprint long")
+    met = {tuple(sorted((r["u"], r["v"]))) for r in simhash.probes(df).selectExpr("key", "fingerprint u").join(simhash.segment_tables(df).selectExpr("key", "fingerprint v"), "key").collect()}
+    assert (0, near) in met  # the lower segment is equal
+    assert {tuple(sorted(r)) for r in simhash.near_links(df).collect()} == {(0, far)}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 8), (2, "a b c", 9, 10)], "doc_id long, text string, keep_row int, __row int")
+    assert [tuple(r) for r in simhash.drop_near_copies(df).collect()] == [(1, "a b c", 7, 8)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_classes(df).collect() == []

@@ -7,15 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import fresh_name, materialise, slices, utf8
 from tidepanel.llm.components import connected_components
 
 SEED = 42
+#: Fingerprints within ``RADIUS`` bits are linked: in one of ``SEGMENTS`` segments they are then within one bit.
+RADIUS = 2
 SEGMENT_BITS = 32
 SEGMENTS = 2
+SEGMENT_MASK = (1 << SEGMENT_BITS) - 1
+#: Fingerprints that one value of a segment table is looked up with pair by pair; more are linked through entries.
+BUCKET = 64
+#: Fingerprints whose balls one task enumerates.
+SPREAD_ROWS = 16_000
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -45,31 +52,71 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
-def near_links(prints: DataFrame) -> DataFrame:
+def segment(column: str | Column, k: int) -> Column:
+    """The value of a fingerprint's ``k``-th segment, with the segment's number above it: a key of the segment tables."""
+    bits = F.shiftrightunsigned(column, k * SEGMENT_BITS).bitwiseAND(F.lit(SEGMENT_MASK))
+    return bits.bitwiseOR(F.lit(k << SEGMENT_BITS))
+
+
+def segment_tables(prints: DataFrame) -> DataFrame:
+    """``(key, fingerprint)``: every fingerprint under the value of each of its segments."""
+    keys = F.array(*[segment("fingerprint", k) for k in range(SEGMENTS)])
+    return prints.select(F.explode(keys).alias("key"), "fingerprint")
+
+
+def probes(prints: DataFrame) -> DataFrame:
+    """``(key, fingerprint, off)``: the keys of each segment's Hamming ball of radius one; ``off`` is the key's distance, 0 or 1."""
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)])
+
+    def ball(k: int) -> Column:
+        return F.transform(flips, lambda f: F.struct(segment("fingerprint", k).bitwiseXOR(f).alias("key"), (f != 0).cast("int").alias("off")))
+
+    return prints.select("fingerprint", F.explode(F.concat(*map(ball, range(SEGMENTS)))).alias("p")).select("p.key", "fingerprint", "p.off")
+
+
+def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links ``(u, v)`` that join all distinct fingerprints at two or fewer differing bits into the right components.
 
-    The index is by segment: a fingerprint is entered, for each of its two 32-bit segments, under every value
-    of that segment's Hamming ball of radius one, the other segment kept. Two fingerprints differ in at most
-    two bits exactly if they meet under a common entry (one changes the first bit, the other the second), and
-    an entry can hold 65 distinct fingerprints at most, so no bucket needs a cap and none yields all its
-    pairs: each member is compared with the entry's least member and linked to it after the full distance
-    has been verified.
+    Two fingerprints within two bits are within one bit in one of their two segments. So each looks up, for every
+    segment, all values of the Hamming ball of radius one in the table of that segment, and the whole distance of
+    what it finds is verified. A table's value that over ``bucket`` fingerprints have isn't looked up in this way, as
+    that would yield all their pairs: see ``_crowded``.
+    """
+    spark = prints.sparkSession
+    n = prints.count()
+    # the table is small in bytes, but each row looks up 66 values: it is dealt by number
+    prints = prints.repartition(max(spark.sparkContext.defaultParallelism, n // SPREAD_ROWS + 1), "fingerprint")
+    table, asked = segment_tables(prints), probes(prints)
+    crowded = materialise(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key"), "crowded")
+    some = not crowded.isEmpty()
+    if some:
+        table = table.join(crowded, "key", "left_anti")
+    met = asked.select("key", F.col("fingerprint").alias("u")).join(table.withColumnRenamed("fingerprint", "v"), "key").filter("u < v")
+    links = met.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select("u", "v")
+    return links.union(_crowded(asked.join(crowded, "key"))) if some else links
+
+
+def _crowded(asked: DataFrame) -> DataFrame:
+    """Links among the fingerprints that look up a value which many have, without their pairs.
+
+    Those that have the value itself differ in up to two bits of the rest: each is entered under every value of the
+    rest's ball of radius one, where two such fingerprints meet. One that is a bit off has one bit left: it is entered
+    under its own rest. An entry holds 65 distinct fingerprints at most, all within two bits of each other, and each is
+    linked to the least of them.
     """
-    # 1 << 63 wraps to the sign bit, as wanted; entry 0 is the fingerprint itself, in both segments
-    flips = F.concat(
-        F.array(F.lit(0).cast("long")),
-        *[F.array(*[F.expr(f"shiftleft(1L, {s * SEGMENT_BITS + b})") for b in range(SEGMENT_BITS)]) for s in range(SEGMENTS)],
-    )
-    balls = prints.select("fingerprint", F.explode(flips).alias("flip"))
-    entries = balls.select("fingerprint", F.expr("fingerprint ^ flip").alias("entry"))
-    shared = entries.groupBy("entry").agg(F.min("fingerprint").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    met = entries.join(shared, "entry").filter("fingerprint <> head")
-    return met.filter("bit_count(fingerprint ^ head) <= 2").select(F.col("fingerprint").alias("u"), F.col("head").alias("v"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)])
+    upper = F.shiftrightunsigned("key", SEGMENT_BITS) == 1
+    rest = F.when(upper, F.col("fingerprint").bitwiseAND(F.lit(SEGMENT_MASK))).otherwise(F.shiftrightunsigned("fingerprint", SEGMENT_BITS))
+    own = F.when(F.col("off") == 0, F.transform(flips, lambda f: F.col("rest").bitwiseXOR(f))).otherwise(F.array("rest"))
+    entries = asked.withColumn("rest", rest).select("key", "fingerprint", F.explode(own).alias("entry"))
+    heads = entries.groupBy("key", "entry").agg(F.min("fingerprint").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = entries.join(heads, ["key", "entry"]).filter("fingerprint <> v").select(F.col("fingerprint").alias("u"), "v")
+    return met.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
 def _with_roots(rows: DataFrame) -> DataFrame:
     """``(fingerprint, root)``: of every distinct fingerprint, the one that stands for its component."""
-    prints = rows.select("fingerprint").distinct()
+    prints = materialise(rows.select("fingerprint").distinct(), "prints")
     roots = connected_components(near_links(prints))
     return prints.join(roots, prints["fingerprint"] == roots["u"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
@@ -98,7 +145,6 @@ def drop_near_copies(docs: DataFrame, width: int = 3, id_col: str = "doc_id", te
     rows = materialise(with_fingerprints(docs, width, id_col, text_col), "fingerprints")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     least = rows.groupBy("fingerprint").agg(F.min(rank).alias("rank"))
-    keep = least.join(_with_roots(rows), "fingerprint").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("keep_row"))
     key = fresh_name(docs, "__row")
-    keyed = docs.withColumn(key, _row_key(id_col, text_col))
-    return keyed.join(keep, F.col(key) == F.col("keep_row"), "left_semi").dropDuplicates([key]).select(*docs.columns)
+    keep = least.join(_with_roots(rows), "fingerprint").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(key))
+    return docs.withColumn(key, _row_key(id_col, text_col)).join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

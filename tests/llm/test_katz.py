@@ -72,7 +72,7 @@ def corpus():
     return rows + [(3, rows[3][1]), (None, "w1 w2 w3"), (500, None), (501, ""), (510, "never seen this É\tw1")]
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 4])
 @pytest.mark.parametrize("block", [1 << 21, 40])
 def test_scores_match_direct_computation(spark, monkeypatch, order, block):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
@@ -88,6 +88,25 @@ def test_scores_match_direct_computation(spark, monkeypatch, order, block):
         assert g[6] == pytest.approx(w[6], abs=1e-8)
 
 
+def test_other_texts_are_scored_from_the_stored_tables(spark):
+    """A model that is fitted to the training rows gives the held-out rows the scores that the one run gives them."""
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA).repartition(3)
+    train = [r for r in rows if not is_held(r[0])]
+    model = katz.fit(spark.createDataFrame([(i, t, "clash") for i, t in train], SCHEMA))
+    assert {r["order"] for r in model.counts.select("order").distinct().collect()} == {1, 2, 3}
+    assert {r["order"] for r in model.weights.select("order").distinct().collect()} == {2, 3}
+    want = {(r["id"], r["n_tokens"]): r["score"] for r in katz.katz_scores(df, 3).collect() if r["held_out"]}
+    got = {(r["id"], r["n_tokens"]): r["score"] for r in katz.score(df.filter("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 = 0"), model).collect()}
+    assert len(want) > 5 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_no_block_table_is_left(spark):
+    katz.katz_scores(spark.createDataFrame([(1, "a b", "x")], SCHEMA)).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("katz_blocks")]
+
+
 def test_no_rows_and_no_training(spark):
     assert katz.katz_scores(spark.createDataFrame([], SCHEMA)).collect() == []
     held = next(i for i in range(100) if is_held(i))

@@ -21,11 +21,11 @@ def brute(docs, items):
         for item, itext in items:
             i = tokens(itext)
             size = min(13, len(i))
-            if len(i) < 6:
+            if len(i) < 3:
                 continue
             for d in range(-len(i), len(t) + 1):
                 hits = [0 <= d + k < len(t) and t[d + k] == w for k, w in enumerate(i)]
-                if any(sum(hits[s : s + size]) >= 0.8 * size for s in range(len(i) - size + 1)):
+                if any(sum(hits[s : s + size]) >= (size if size < 6 else 0.8 * size) for s in range(len(i) - size + 1)):
                     out.add((doc, item))
     return out
 
@@ -33,7 +33,7 @@ def brute(docs, items):
 def cases():
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(400)}"
-    items = [(k, " ".join(word() for _ in range(rng.choice([9, 12, 13, 14, 30])))) for k in range(12)] + [(50, "too short"), (51, None), (1, "a b c d e f g h")]
+    items = [(k, " ".join(word() for _ in range(rng.choice([9, 12, 13, 14, 30])))) for k in range(12)] + [(50, "too short"), (51, None), (60, "k1 k2 k3"), (61, "k4 k5 k6 k7"), (62, "k8 k9 k10 k11 k12"), (66, "p1 p2 p3 p4 p5 p6"), (67, "q1 q2 q3 q4 q5 q6 q7"), (68, "r1 r2 r3 r4 r5 r6 r7 r8"), (1, "a b c d e f g h")]
     docs = []
     for k in range(120):
         body = [word() for _ in range(rng.randrange(0, 80))]
@@ -44,6 +44,11 @@ def cases():
             at = rng.randrange(len(body) + 1)
             body[at:at] = leak[: rng.choice([len(leak), 10])]
         docs.append((k, (" " if k % 2 else "!! ").join(body).upper() if k % 4 == 0 else " ".join(body)))
+    for n, (item, text) in enumerate([i for i in items if i[0] >= 60]):
+        words = text.split()
+        docs.append((1000 + 100 * n, f"w1 {text} w2"))
+        for k in range(len(words)):  # one word substituted, wherever it stands
+            docs.append((1001 + 100 * n + k, " ".join(["w3", *words[:k], "CHANGED", *words[k + 1 :], "w4"])))
     return docs + [(None, items[0][1]), (3, docs[3][1]), (300, None), (301, ""), (302, "?? !")], items
 
 
@@ -53,10 +58,9 @@ def test_matches_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute(docs, items)
 
 
-def test_join_without_broadcast_finds_the_same(spark, monkeypatch):
+def test_join_without_broadcast_finds_the_same(spark):
     docs, items = cases()
-    monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", 0)
-    found = D.leaks(spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS), spark.createDataFrame([(*i, "z") for i in items], ITEMS))
+    found = D.leaks(spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS), spark.createDataFrame([(*i, "z") for i in items], ITEMS), max_broadcast=0)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute(docs, items)
 
 
@@ -69,6 +73,12 @@ def test_clean_rows_stay_whole(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h", 7, 8, 9), (2, "clean", 1, 2, 3)], "doc_id long, text string, __found int, __row int, doc_hash int")
+    items = spark.createDataFrame([(1, "a b c d e f g h", 5)], "item_id long, text string, words int")
+    assert [tuple(r) for r in D.decontaminate(df, items).collect()] == [(2, "clean", 1, 2, 3)]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert D.leaks(docs, items).collect() == []

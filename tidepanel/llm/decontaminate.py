@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import fresh_name
 
 #: ``1`` marks a word position that is hashed, ``0`` one that is ignored. Together these find every 13-word
-#: window with up to two substituted words (also 9 words with one, 10 to 12 with two), wherever those stand.
+#: window with up to two substituted words (also 8 and 9 words with one, 10 to 12 with two), wherever those stand.
 MASKS = ("111011", "11010011", "111001011")
+#: Finds 6 and 7 words with one substituted word.
+SHORT_MASK = "111"
+#: Items of fewer words match as a whole only; of fewer than this many, never.
+LONG_WORDS, SHORT_WORDS, LEAST_WORDS = 8, 6, 3
 WINDOW_WORDS = 13
 SIMILARITY = 0.8
-#: Up to so many distinct benchmark seeds (24 bytes each) go to every executor; beyond, the join is shuffled.
-MAX_BROADCAST_SEEDS = 1_000_000
+#: Up to so many bytes of benchmark seeds (each with its item's words) go to every executor; beyond, the join is shuffled.
+MAX_BROADCAST_BYTES = 32 << 20
+
+
+def masks_of(n: Column) -> list[tuple[str, Column]]:
+    """Every mask with the numbers of item words that it serves."""
+    whole = [("1" * k, n == k) for k in range(LEAST_WORDS, SHORT_WORDS)]
+    return [*((m, n >= LONG_WORDS) for m in MASKS), (SHORT_MASK, (n >= SHORT_WORDS) & (n < LONG_WORDS)), *whole]
 
 
 def word_hashes(text: Column) -> Column:
@@ -23,36 +33,49 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def _seeds(rows: DataFrame, masks: dict[int, tuple[str, Column | None]]) -> DataFrame:
     """The rows, once for every word position and mask that fits there: ``seed`` and ``at`` (position)."""
     # outer, for else Spark adds a filter that computes the words a second time; without words no seed fits
     at = rows.select("*", F.posexplode_outer("words").alias("at", "_word"))
 
-    def seed(number: int, mask: str) -> Column:
+    def seed(number: int, mask: str, served: Column | None) -> Column:
         taken = [F.get("words", F.col("at") + k) for k, bit in enumerate(mask) if bit == "1"]
-        return F.when(F.col("at") + len(mask) <= F.size("words"), F.xxhash64(F.lit(number), *taken))
+        fits = F.col("at") + len(mask) <= F.size("words")
+        return F.when(fits if served is None else fits & served, F.xxhash64(F.lit(number), *taken))
 
-    each = at.select("*", F.explode(F.array(*[seed(k, m) for k, m in enumerate(masks)])).alias("seed"))
+    each = at.select("*", F.explode(F.array(*[seed(k, m, served) for k, (m, served) in masks.items()])).alias("seed"))
     return each.filter("seed is not null").drop("_word")
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, similarity: float = SIMILARITY, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, doc_hash, item_id, matched, window)``: benchmark items that a document holds, aligned word by word.
 
     A document holds an item if some window of ``window`` item words (all words of a shorter item) meets the
-    document's words at one offset with a share of ``similarity`` or more equal. ``matched`` is the most equal
-    words that a window has. Candidates are the offsets at which a masked hash of both sides is equal.
+    document's words at one offset with a share of ``similarity`` or more equal; of items of three to five words
+    all must be equal. ``matched`` is the most equal words that a window has. Candidates are the offsets at which
+    a masked hash of both sides is equal; only masks that some item needs are computed.
 
-    Items of fewer words than the shortest mask never match. Null texts are empty. Rows that share id and text
+    Items of one or two words never match. Null texts are empty. Rows that share id and text
     are one document, whose ``doc_hash`` is a hash of both; a null id is an id like any other. Repeated items
     are read once; items that share an id give a row for each window size. Other columns are not
     read. If either table is empty, so is the result.
     """
     item_rows = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("words")).distinct()
-    item_seeds = _seeds(item_rows, masks).select("seed", "item_id", F.col("words").alias("item"), F.col("at").alias("item_at"))
+    masks = masks_of(F.size("words"))
+    needed = [F.coalesce(F.bool_or(served), F.lit(False)).alias(f"m{k}") for k, (_, served) in enumerate(masks)]
+    # a position of an item gives a seed for each of three masks at most, and each carries the item's words
+    about = item_rows.agg(F.coalesce(F.sum(F.size("words").cast("long") * len(MASKS) * (F.size("words") * 8 + 40)), F.lit(0)).alias("bytes"), *needed).first()
+    used = {k: m for k, m in enumerate(masks) if about[f"m{k}"]} or {0: masks[0]}
+    item_seeds = _seeds(item_rows, used).select("seed", "item_id", F.col("words").alias("item"), F.col("at").alias("item_at"))
     doc_rows = docs.select(F.col(id_col).alias("doc_id"), doc_hash(id_col, text_col).alias("doc_hash"), word_hashes(F.col(text_col)).alias("words"))
-    hits_side = F.broadcast(item_seeds) if item_seeds.count() <= MAX_BROADCAST_SEEDS else item_seeds
-    hits = _seeds(doc_rows, masks).join(hits_side, "seed")
+    doc_seeds = _seeds(doc_rows, {k: (m, None) for k, (m, _) in used.items()})
+    if about["bytes"] <= max_broadcast:
+        hits = doc_seeds.join(F.broadcast(item_seeds), "seed")
+    else:  # the words follow the hits, not every seed
+        found = doc_seeds.select("seed", "doc_id", "doc_hash", "at").join(item_seeds.drop("item").distinct(), "seed")
+        words = item_rows.select(F.col("item_id").alias("of_item"), F.col("words").alias("item"))
+        hits = found.join(words, F.col("item_id").eqNullSafe(F.col("of_item")))
+        hits = hits.join(doc_rows.select("doc_hash", "words").dropDuplicates(["doc_hash"]), "doc_hash")
     size = F.least(F.lit(window), F.size("item"))
     hits = hits.withColumn("size", size).withColumn("first", F.greatest(F.lit(0), F.col("item_at") - size + 1))
 
@@ -63,7 +86,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     best = F.array_max(F.transform(F.sequence("first", "item_at"), equal_from))
     # filtered after the aggregation: before it, the test would move into the join and end its generated code
     most = hits.select("doc_id", "doc_hash", "item_id", best.alias("matched"), F.col("size").alias("window")).groupBy("doc_id", "doc_hash", "item_id", "window").agg(F.max("matched").alias("matched"))
-    return most.filter(F.col("matched") >= F.lit(similarity) * F.col("window")).select("doc_id", "doc_hash", "item_id", "matched", "window")
+    need = F.when(F.col("window") < SHORT_WORDS, F.col("window")).otherwise(F.lit(similarity) * F.col("window"))
+    return most.filter(F.col("matched") >= need).select("doc_id", "doc_hash", "item_id", "matched", "window")
 
 
 def doc_hash(id_col: str, text_col: str) -> Column:
@@ -73,6 +97,5 @@ def doc_hash(id_col: str, text_col: str) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; the columns stay. See ``leaks``."""
     key = fresh_name(docs, "__row")
-    found = leaks(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("doc_hash").alias("__found")).distinct()
-    keyed = docs.withColumn(key, doc_hash(id_col, text_col))
-    return keyed.join(found, F.col(key) == F.col("__found"), "left_anti").drop(key)
+    found = leaks(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("doc_hash").alias(key)).distinct()
+    return docs.withColumn(key, doc_hash(id_col, text_col)).join(found, key, "left_anti").select(*docs.columns)

@@ -88,8 +88,8 @@ i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(replace(lower(c
 dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS at FROM d),
 iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS at FROM i),
 m AS (SELECT doc_id, item_id, n, iw.at AS ip, dw.at - iw.at AS diagonal FROM dw JOIN iw USING (word)),
-c AS (SELECT doc_id, item_id, least(13, n) AS size, count(*) OVER (PARTITION BY doc_id, item_id, n, diagonal ORDER BY ip RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM m WHERE n >= 6)
-SELECT doc_id, item_id, CAST(max(k) AS BIGINT) AS matched, CAST(max(size) AS BIGINT) AS window_words FROM c WHERE k >= 0.8 * size GROUP BY doc_id, item_id
+c AS (SELECT doc_id, item_id, least(13, n) AS size, count(*) OVER (PARTITION BY doc_id, item_id, n, diagonal ORDER BY ip RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM m WHERE n >= 3)
+SELECT doc_id, item_id, CAST(max(k) AS BIGINT) AS matched, CAST(max(size) AS BIGINT) AS window_words FROM c WHERE k >= CASE WHEN size < 6 THEN size ELSE 0.8 * size END GROUP BY doc_id, item_id
 """
 
 OP4_SQL = """

@@ -44,7 +44,7 @@ def test_filters_are_pushed_and_right(spark, tmp_path):
     assert "payload" not in heads.columns
     both = heads.filter((F.col("record_type") == "revisit") & F.col("target_uri").startswith("http"))
     assert [r["record_id"] for r in both.collect()] == ["urn:page:1"]
-    reader = W.WarcReader(str(tmp_path / "w"), heads.schema)
+    reader = W.WarcReader(str(tmp_path / "w"), heads.schema, 1)
     assert list(reader.pushFilters([W.EqualTo(("record_type",), "revisit"), W.EqualTo(("record_date",), 1)])) == [W.EqualTo(("record_date",), 1)]
 
 
@@ -69,6 +69,30 @@ def test_foreign_files(spark, tmp_path):
     assert len(got) == 5 and {bytes(r["payload"]) for r in got} == {b"hello"} and {r["payload_bytes"] for r in got} == {5}
 
 
+def test_records_without_http(spark, tmp_path):
+    """The payload of other records is their whole block; a date that is none is null; folders inside and single files are read."""
+    head = b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:%s>\r\nWARC-Date: %s\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n"
+    body = b"first part\r\n\r\nsecond part"
+    kinds = [(b"warcinfo", b"application/warc-fields"), (b"conversion", b"text/plain"), (b"metadata", b"application/json"), (b"resource", b"text/html")]
+    data = [head % (k, k, b"yesterday" if k == b"metadata" else b"2020-01-02T03:04:05Z", t, len(body)) + body + b"\r\n\r\n" for k, t in kinds]
+    (tmp_path / "inner").mkdir()
+    (tmp_path / "inner" / "a.warc").write_bytes(b"".join(data))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "c.warc").write_bytes(data[0])
+    got = W.read_warc(spark, str(tmp_path)).collect()
+    assert len(got) == 8 and {bytes(r["payload"]) for r in got} == {body} and {r["payload_bytes"] for r in got} == {len(body)}
+    assert {r["record_type"] for r in got if r["record_date"] is None} == {"metadata"}
+    assert W.read_warc(spark, str(tmp_path / "b.warc.gz"), payloads=False).filter("record_type = 'conversion'").count() == 1
+
+
+def test_small_files_are_read_by_several_tasks(spark, tmp_path):
+    for k in range(6):
+        (tmp_path / f"{k}.warc").write_bytes(b"x" * 100)
+    reader = W.WarcReader(str(tmp_path), spark.range(0).schema, 4)
+    assert [len(p.paths) for p in reader.partitions()] == [1, 1, 1, 1, 1, 1]
+
+
 def test_empty(spark, tmp_path):
     W.write_warc(W.page_records(spark.createDataFrame([], PAGES)), str(tmp_path / "e"))
     assert W.read_warc(spark, str(tmp_path / "e")).collect() == []

@@ -62,6 +62,18 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
 
 
+def _date(text: str | None) -> datetime | None:
+    """A WARC date; null if it is none."""
+    try:
+        return datetime.fromisoformat(text) if text else None
+    except ValueError:
+        return None
+
+
+def _number(text: str | None) -> int:
+    return int(text) if text and text.isdigit() else 0
+
+
 def _bare(uri: str | None) -> str | None:
     return (uri.strip("<>") or None) if uri is not None else None
 
@@ -69,12 +81,12 @@ def _bare(uri: str | None) -> str | None:
 def parse_header(head: bytes, http: bytes) -> dict:
     """The columns of ``HEADER`` from a record's two headers."""
     w, h = _fields(head), _fields(http)
-    digest, when, size = w.get("warc-payload-digest"), w.get("warc-date"), h.get("content-length", "")
+    digest, when, size = w.get("warc-payload-digest"), w.get("warc-date"), (h if http else w).get("content-length", "")
     return {
         "record_id": _bare(w.get("warc-record-id")),
         "record_type": w.get("warc-type"),
         "target_uri": w.get("warc-target-uri"),
-        "record_date": datetime.fromisoformat(when) if when else None,
+        "record_date": _date(when),
         "payload_digest": digest.rpartition(":")[2].lower() if digest else None,
         "payload_bytes": int(size) if size.isdigit() else None,
         "refers_to": _bare(w.get("warc-refers-to")),
@@ -95,18 +107,21 @@ FILTERED = {"record_id", "record_type", "target_uri", "payload_digest", "payload
 
 
 def _heads(parts: Iterator[bytes]) -> tuple[bytes, bytes, bytes]:
-    """The WARC header, the HTTP header and what was read beyond, from as few parts as hold them."""
-    held, ends = b"", []
+    """The WARC header, the HTTP header if the record's block has one, and what was read beyond, from as few parts as hold them."""
+    held, end = b"", -1
     for part in parts:
         held += part
-        ends, at = [], 0
-        while len(ends) < 2 and (at := held.find(b"\r\n\r\n", at)) >= 0:
-            at += 4
-            ends.append(at)
-        if len(ends) == 2:
+        if (end := held.find(b"\r\n\r\n")) >= 0:
             break
-    first = ends[0] if ends else len(held)
-    second = ends[1] if len(ends) > 1 else first
+    first = end + 4 if end >= 0 else len(held)
+    kind = _fields(held[:first]).get("content-type", "").lower()
+    while not kind and len(held) < first + 5 and (part := next(parts, b"")):
+        held += part
+    if not (kind.startswith("application/http") or not kind and held[first : first + 5] == b"HTTP/"):
+        return held[:first], b"", held[first:]
+    while (end := held.find(b"\r\n\r\n", first)) < 0 and (part := next(parts, b"")):
+        held += part
+    second = end + 4 if end >= 0 else len(held)
     return held[:first], held[first:second], held[second:]
 
 
@@ -161,14 +176,14 @@ def records(f: io.BufferedReader, keep, payloads: bool) -> Iterator[dict]:
             wanted = keep(row)
             body = b""
             if wanted and payloads:
-                body = b"".join([rest, *parts])[: int(_fields(head).get("content-length", 0)) - len(http)]
+                body = b"".join([rest, *parts])[: _number(_fields(head).get("content-length")) - len(http)]
             elif member_at.after is None:
                 for _ in parts:  # only its end tells where the next one starts
                     pass
             at = member_at.after
         elif magic == b"WARC/":
             head, http, rest = _heads(iter(lambda: f.read(HEAD_BYTES), b""))
-            size = int(_fields(head).get("content-length", 0))
+            size = _number(_fields(head).get("content-length"))
             if len(http) > size:
                 http = http[:size]
             row = parse_header(head, http)
@@ -196,8 +211,8 @@ class Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType) -> None:
-        self.path, self.schema, self.filters = path, schema, []
+    def __init__(self, path: str, schema: StructType, tasks: int) -> None:
+        self.path, self.schema, self.tasks, self.filters = path, schema, tasks, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
         for f in filters:
@@ -207,17 +222,21 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Whole files, small ones together; records are found from a file's start."""
+        """Whole files, of a folder and those in it or the one that is named; small ones together, but in as many groups as tasks can run at once."""
         store, root = fs.FileSystem.from_uri(self.path)
+        named = store.get_file_info(root)
+        found = [named] if named.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
+        below = len(root.rstrip("/")) + 1
+        files = sorted((x for x in found if x.type == fs.FileType.File and (x is named or not any(part[:1] in "._" for part in x.path[below:].split("/")))), key=lambda x: x.path)
+        most = min(FILE_BYTES, sum(x.size for x in files) // max(1, self.tasks) + 1)
         groups: list[list[str]] = []
-        filled = FILE_BYTES
-        for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
-            if info.type == fs.FileType.File and info.base_name[0] not in "._":
-                if filled + info.size > FILE_BYTES:
-                    groups.append([])
-                    filled = 0
-                groups[-1].append(info.path)
-                filled += info.size
+        filled = most
+        for info in files:
+            if filled + info.size > most:
+                groups.append([])
+                filled = 0
+            groups[-1].append(info.path)
+            filled += info.size
         return [Files(g) for g in groups]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -302,17 +321,21 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema)
+        return WarcReader(self.options["path"], schema, int(self.options.get("tasks", 1)))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records under ``path``; filters on header columns are applied before a payload is decoded."""
+    """The records of the file or under the folder ``path``; filters on header columns are applied before a payload is decoded.
+
+    For these filters it turns ``spark.sql.python.filterPushdown.enabled`` on in the session, and leaves it on: the
+    plan is made when the result is used.
+    """
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").schema(SCHEMA if payloads else HEADER).load(path)
+    return spark.read.format("warc").schema(SCHEMA if payloads else HEADER).option("tasks", spark.sparkContext.defaultParallelism).load(path)
 
 
 def write_warc(rows: DataFrame, path: str, mode: str = "append") -> None:

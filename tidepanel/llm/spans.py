@@ -26,8 +26,8 @@ def rank() -> Column:
 def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with ``spans(row, start, end)`` taken out of their texts; spans of a row must not overlap.
 
-    The columns stay. With ``removed_col``, the removed spans are added in that column, as offsets in the
-    original text.
+    The columns stay. With ``removed_col``, the removed spans are added in a column of that name (with ``_`` added to
+    it as long as ``docs`` has one), as offsets in the original text.
     """
     key, held = fresh_name(docs, "__row"), fresh_name(docs, "__spans")
     per_row = spans.groupBy(F.col("row").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(held))
@@ -41,4 +41,4 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str
 
     kept = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(F.concat_ws("", F.transform(F.sequence(F.lit(0), size), piece)))
     columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*columns, *([F.coalesce(held, F.array().cast("array<struct<start:int,end:int>>")).alias(removed_col)] if removed_col else []))
+    return both.select(*columns, *([F.coalesce(held, F.array().cast("array<struct<start:int,end:int>>")).alias(fresh_name(docs, removed_col))] if removed_col else []))

@@ -15,7 +15,7 @@ from tidepanel.llm.common import materialise, slices, texts
 from tidepanel.llm.spans import cut, keyed_texts, rank
 
 #: A removed passage has at least so many words in consecutive repeated units.
-MIN_WORDS = 30
+MIN_WORDS = 12
 UNIT_END = re.compile(r"\n+|[.!?]+[\"')\]]*\s+")
 WORD = re.compile(r"\w+")
 UNIT_SCHEMA = "id long, row long, at int, start int, end int, words int, d1 long, d2 long, again boolean"
@@ -70,7 +70,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     """
     rows = materialise(unit_rows(docs, id_col, text_col), "units")
     once = rows.filter("not again")
-    first = once.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank()).alias("first")).filter("n > 1").drop("n")
+    # written, so that the join deals both sides anew and can split what one common unit gathers
+    first = materialise(once.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank()).alias("first")).filter("n > 1").drop("n"), "first")
     other = once.join(first, ["d1", "d2"]).filter(rank() != F.col("first"))
     spans = other.select("id", "row", "at", "start", "end", "words", F.col("first.id").alias("kept_id"))
     own = rows.filter("again").select("id", "row", "at", "start", "end", "words", F.col("id").alias("kept_id"))

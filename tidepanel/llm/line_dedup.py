@@ -130,12 +130,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and text are one document. Other columns are not read. An empty table gives an empty result.
     """
     rows = materialise(pair_rows(docs, id_col, text_col), "pairs")
-    often = rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written, as is ``first``, so that the joins deal both sides anew and can split what one common pair gathers
+    often = materialise(rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "often")
     places = rows.join(often, ["d1", "d2"]).groupBy("row").agg(F.collect_set(F.struct("at", "start", "middle", "end", "d1", "d2")).alias("places"))
     held = keyed_texts(docs, id_col, text_col).join(places, "row").dropDuplicates(["row"]).select("id", "row", "text", F.explode("places").alias("p"))
     body = F.rtrim(F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), F.lit("\n"))
     found = materialise(held.select("id", "row", "p.*", body.alias("body")), "candidates")
-    first = found.groupBy("d1", "d2", "body").agg(F.count("*").alias("n"), F.min(rank()).alias("first")).filter("n > 1").drop("n")
+    first = materialise(found.groupBy("d1", "d2", "body").agg(F.count("*").alias("n"), F.min(rank()).alias("first")).filter("n > 1").drop("n"), "first")
     other = found.join(first, ["d1", "d2", "body"]).filter(rank() != F.col("first"))
     overlaps = (F.col("first.row") == F.col("row")) & (F.col("first.at") + 1 == F.col("at"))
     head = F.struct("at", "start", F.col("middle").alias("end"))

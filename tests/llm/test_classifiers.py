@@ -74,6 +74,48 @@ def test_risk_estimator_ignores_positives_hidden_in_the_unlabelled():
     assert ((x @ w + bias > 0) == y).mean() > 0.95
 
 
+def test_risk_and_gradient_match_direct_computation():
+    rng = np.random.default_rng(5)
+    xp, xu = (np.hstack([rng.integers(0, 2, (n, 5)), np.ones((n, 1))]) for n in (30, 70))
+    w, prior = rng.normal(size=6), 0.3
+
+    def direct(w):
+        loss = lambda z: np.log(1 + np.exp(-z))
+        of = lambda rows, sign: sum(loss(sign * sum(a * b for a, b in zip(r, w, strict=True))) for r in rows) / len(rows)
+        return prior * of(xp, 1), of(xu, -1) - prior * of(xp, -1)
+
+    marked, rest, grad_marked, grad_rest = T.risk_parts(w, xp, xu, prior)
+    assert np.allclose((marked, rest), direct(w))
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        up, down = direct(w + step), direct(w - step)
+        assert np.allclose([grad_marked[k], grad_rest[k]], [(a - b) / 2e-6 for a, b in zip(up, down, strict=True)], atol=1e-6)
+
+
+def test_a_model_that_learnt_nothing_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "vile", "s", "l"), (2, "fine", "s", "l")], DOCS)
+    labels = spark.createDataFrame([(1, 1, 1, "t"), (2, 1, 0, "t")], LABELS)
+    assert {r["doc_id"] for r in T.drop_toxic(docs, labels).collect()} == {1, 2}
+
+
+def test_quality_features_match_direct_computation():
+    rng = random.Random(2)
+    size = 1 << Q.BITS
+    for _ in range(100):
+        text = "".join(rng.choice(["ab ", "b", "é", "日本", "\n", "😀 ", " "]) for _ in range(rng.randrange(30)))
+        words = [zlib.crc32(w) for w in text.encode().split()]
+        m = (1 << 32) - 1
+        pairs = [((a * 0x9E3779B1 & m ^ b) * 0x85EBCA77 & m) >> 32 - Q.BITS for a, b in zip(words, words[1:], strict=False)]
+        c = [ord(x) for x in text]
+        grams = [(((x * 0x85EBCA77 & m ^ y) * 0xC2B2AE3D & m ^ z) * 0x9E3779B1 & m) >> 32 - Q.BITS for x, y, z in zip(c, c[1:], c[2:], strict=False)]
+        want = {}
+        for k, part in enumerate(([w & size - 1 for w in words], pairs, grams)):
+            for h in part:
+                want[k * size + h] = want.get(k * size + h, 0) + 1 / len(part)
+        i, x = Q.features(text)
+        assert dict(zip(i.tolist(), (x**2).round(9).tolist(), strict=True)) == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_no_positive_labels_and_no_rows(spark):
     docs, labels, _ = frames(spark)
     scores = {r["score"] for r in T.toxicity_scores(docs, labels.filter("toxic = 0")).collect()}

@@ -17,6 +17,8 @@ from tidepanel.llm.common import slices, texts
 #: Rows of each label that the classifier is fitted to, at most.
 MAX_ROWS = 4_000
 BITS = 13
+#: Words, pairs of words, character trigrams: each has its own part of the hash space.
+FAMILIES = 3
 #: A document is kept if its calibrated probability of being good is at least this.
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -51,14 +53,15 @@ def rule_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a text: indices and square roots of shares, words and character trigrams (bytes) apart."""
-    size = 1 << bits
-    raw = text.encode()
-    words = np.array([zlib.crc32(w) for w in raw.split()], np.uint32) & np.uint32(size - 1)
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    grams = ((b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(2654435761) >> np.uint32(32 - bits)) if len(b) > 2 else np.zeros(0, np.uint32)
+    """Hashed features of a text: indices and square roots of shares; words, pairs of words and character trigrams apart."""
+    size, low = 1 << bits, np.uint32((1 << bits) - 1)
+    raw = text.encode("utf-8", "replace")
+    words = np.array([zlib.crc32(w) for w in raw.split()], np.uint32)
+    pairs = (words[:-1] * np.uint32(0x9E3779B1) ^ words[1:]) * np.uint32(0x85EBCA77) >> np.uint32(32 - bits)
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    grams = ((c[:-2] * np.uint32(0x85EBCA77) ^ c[1:-1]) * np.uint32(0xC2B2AE3D) ^ c[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits) if len(c) > 2 else np.zeros(0, np.uint32)
     out_i, out_x = [], []
-    for offset, hashed in ((0, words), (size, grams)):
+    for offset, hashed in ((0, words & low), (size, pairs), (2 * size, grams)):
         if len(hashed):
             n = np.bincount(hashed, minlength=size)
             i = np.flatnonzero(n)
@@ -107,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     the whole table. Null ids and labels are not learnt from. With fewer than two labels present, every text
     gets probability 1 (or 0 if only label 0 is present).
     """
-    size = 2 << BITS
+    size = FAMILIES << BITS
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(share) < 2:
@@ -119,15 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             both = [features(t) for t in texts(b.column(1))]
-            lists = [pa.array([f[k].astype(kind) for f in both], pa.list_(arrow)) for k, kind, arrow in ((0, np.int32, pa.int32()), (1, np.float32, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], ["id", "y", "i", "x"])
+            # two bytes each: indices are under 2 ** 16, and half precision is ample for shares
+            packed = [pa.array([f[k].astype(kind).tobytes() for f in both], pa.binary()) for k, kind in ((0, np.uint16), (1, np.float16))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *packed], ["id", "y", "i", "x"])
 
-    sample = rows.mapInArrow(run, "id long, y int, i array<int>, x array<float>").toArrow().sort_by([("id", "ascending")])
+    sample = rows.mapInArrow(run, "id long, y int, i binary, x binary").toArrow().sort_by([("id", "ascending")])
     ids, y = sample.column("id").to_numpy(), sample.column("y").to_numpy()
-    i, x = sample.column("i").combine_chunks(), sample.column("x").combine_chunks()
-    bounds = i.offsets.to_numpy()
-    flat_i, flat_x = i.values.to_numpy(), x.values.to_numpy()
-    of = [(flat_i[a:b], flat_x[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    of = [(np.frombuffer(i, np.uint16).astype(np.int32), np.frombuffer(x, np.float16).astype(np.float32)) for i, x in zip(sample.column("i").to_pylist(), sample.column("x").to_pylist(), strict=True)]
     aside = np.array([zlib.crc32(str(k).encode()) % 5 == 0 for k in ids.tolist()])
     if len(of) == 0 or any((y[~aside] == k).sum() == 0 or (y[aside] == k).sum() == 0 for k in (0, 1)):
         aside = np.zeros(len(of), bool)

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidepanel.llm import katz
@@ -88,6 +89,18 @@ def test_scores_match_direct_computation(spark, monkeypatch, order, block):
         assert g[6] == pytest.approx(w[6], abs=1e-8)
 
 
+def test_grouping_and_packing_of_keys():
+    rng = np.random.default_rng(4)
+    near = (np.uint64(1) << np.uint64(60)) + rng.integers(0, 9, 500, dtype=np.uint64)
+    for keys in (np.zeros(0, np.uint64), near[:1], near, rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2), np.repeat(near, 3), np.concatenate([near, rng.integers(0, 1 << 63, 700, dtype=np.uint64)])):
+        want = np.unique(keys, return_inverse=True)
+        got = katz.grouped(keys)
+        assert all((g == w).all() for g, w in zip(got, want, strict=True))
+        assert not len(keys) or (katz._unpacked_keys(katz._packed_keys(want[0]), len(want[0])) == want[0]).all()
+    for numbers in ([0], [-3, 127], [128], [-40_000], [1 << 40, -1]):
+        assert katz._unpacked(katz._packed(np.array(numbers))).tolist() == numbers
+
+
 def test_other_texts_are_scored_from_the_stored_tables(spark):
     """A model that is fitted to the training rows gives the held-out rows the scores that the one run gives them."""
     rows = corpus()

@@ -1,6 +1,6 @@
 """Katz backoff language model: counts, discounts and backoff weights over a whole corpus, and scores of documents.
 
-The corpus is cut into blocks of tokens. A block counts its own n-grams first (``np.unique``), so a shuffled row
+The corpus is cut into blocks of tokens. A block counts its own n-grams first, so a shuffled row
 is a block's list of distinct n-gram keys for one bucket of the key space, never a token. Buckets are ranges of a
 64-bit hash, as many as the corpus needs for each to hold about a million keys, so a frequent word weighs no more
 than a rare one. Each bucket sums the counts, keeps them as its part of the model's count table, and answers every
@@ -36,9 +36,6 @@ FLOOR = 0.01
 BASE_ADD = 0.1
 BLOCK_TOKENS = 1 << 21
 BUCKET_KEYS = 1 << 20
-#: Bytes kept of a key inside its bucket: with the bucket's own bits all 64 once there are 256 buckets, and at least 59.
-KEY_BYTES = {1: 8}
-LONG_KEY_BYTES = 7
 #: The block number of rows of the count table, and the bucket of what blocks know without asking.
 TABLE, KNOWN = -1, -1
 
@@ -153,7 +150,7 @@ class Block:
             now = _mix(before, first)
 
     def grams(self, order: int, keys: np.ndarray, at: np.ndarray) -> Grams:
-        distinct, place = np.unique(keys[at], return_inverse=True)
+        distinct, place = grouped(keys[at])
         counts = np.bincount(place, self.met[at], len(distinct)).astype(np.int64)
         return Grams(at, distinct, place, counts, np.bincount(place, self.held[self.of[at]], len(distinct)) > 0)
 
@@ -185,12 +182,11 @@ def _block_of(batch: pa.RecordBatch | pa.Table, k: int, order: int) -> Block:
 
 def _ask_rows(block: int, order: int, g: Grams, bits: int, full: bool) -> Iterator[pa.RecordBatch]:
     """A row per bucket: the distinct keys in order, and twice their counts in training text, plus one if text to be scored has them."""
-    raw = g.keys.view(np.uint8).reshape(-1, 8)[:, : KEY_BYTES.get(order, LONG_KEY_BYTES)]
     bounds = np.searchsorted(g.keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     told = 2 * g.counts + (g.wanted | full)
     for bucket, (s, e) in enumerate(zip(bounds, [*bounds[1:], len(g.keys)], strict=True)):
         if e > s:
-            yield _ask(bucket, block, order, raw[s:e].tobytes(), told[s:e])
+            yield _ask(bucket, block, order, _packed_keys(g.keys[s:e]), told[s:e])
 
 
 def _ask(bucket: int, block: int, order: int, keys: bytes, counts: np.ndarray) -> pa.RecordBatch:
@@ -256,11 +252,47 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
 
 
-def _wide(keys: bytes, order: int) -> np.ndarray:
-    width = KEY_BYTES.get(order, LONG_KEY_BYTES)
-    out = np.zeros((len(keys) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(keys, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order: the first one, and the steps from each to the next in as many bytes as the largest step takes."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return keys[:1].tobytes() + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked_keys(raw: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(raw, np.uint8, 8)
+    steps[1:, : raw[8]] = np.frombuffer(raw, np.uint8, offset=9).reshape(n - 1, raw[8])
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them; as ``np.unique`` gives them, but by one sort of values.
+
+    The place of a key is kept in the low bits of what is sorted. Keys that differ only in the bits it takes are put in order after.
+    """
+    n = len(keys)
+    if n < 2:
+        return keys.copy(), np.zeros(n, np.int64)
+    least = keys.min()
+    bits, spare = np.uint64(n.bit_length()), np.uint64(64 - int(keys.max() - least).bit_length())
+    head = (keys - least) << spare >> bits
+    order = (np.sort(head << bits | np.arange(n, dtype=np.uint64)) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    inner = keys[order]
+    for k in np.flatnonzero(inner[1:] < inner[:-1]):
+        a, b = int(k), int(k) + 2
+        while a > 0 and head[order[a - 1]] == head[order[k]]:
+            a -= 1
+        while b < n and head[order[b]] == head[order[k]]:
+            b += 1
+        order[a:b] = order[a:b][np.argsort(keys[order[a:b]], kind="stable")]
+        inner[a:b] = keys[order[a:b]]
+    new = np.append(True, inner[1:] != inner[:-1])
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return inner[new], place
 
 
 def _answer(order_max: int, full: bool):
@@ -283,31 +315,30 @@ def _answer(order_max: int, full: bool):
         for order in np.unique(orders).tolist():
             rows = np.flatnonzero(orders == order)
             # a stored table has plain counts, and nothing to be scored
-            told = np.concatenate([_unpacked(asked.column("counts")[int(k)].as_py()) * (2 if blocks[k] == TABLE else 1) for k in rows])
+            each = [_unpacked(asked.column("counts")[int(k)].as_py()) * (2 if blocks[k] == TABLE else 1) for k in rows]
+            told, sizes = np.concatenate(each), [len(x) for x in each]
             if bucket == KNOWN:
                 n = int(told.sum())
                 emit(TABLE, order, None, [n, *[0] * (CUTOFF + 1), n], None)
                 continue
-            keys = [_wide(asked.column("keys")[int(k)].as_py(), order) for k in rows]
+            keys = [_unpacked_keys(asked.column("keys")[int(k)].as_py(), n) for k, n in zip(rows, sizes, strict=True)]
             ends = np.cumsum([len(k) for k in keys])
-            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+            distinct, place = grouped(np.concatenate(keys))
             counts = told >> 1
             total = np.bincount(place, counts, len(distinct)).astype(np.int64)
             wanted = np.bincount(place, told & 1, len(distinct)) > 0
             reply = (2 * total + wanted)[place]
             held = np.flatnonzero((counts > 0) & (np.repeat(blocks[rows], [len(k) for k in keys]) != TABLE))
-            _, first = np.unique(place[held], return_index=True)
-            reply[held[first]] *= -1
-            width = KEY_BYTES.get(order, LONG_KEY_BYTES)
-            start = starts[order - 1] & np.uint64((1 << 8 * width) - 1) if width < 8 else starts[order - 1]
-            real = total[(total > 0) & (distinct != start)]
+            first = np.full(len(distinct), -1)
+            first[place[held][::-1]] = held[::-1]
+            reply[first[first >= 0]] *= -1
+            real = total[(total > 0) & (distinct != starts[order - 1])]
             histogram = [*(int((real == r).sum()) for r in range(1, CUTOFF + 2)), int((real > CUTOFF + 1).sum()), int(real.sum())]
             for j, k in enumerate(rows):
                 if blocks[k] != TABLE:
                     emit(int(blocks[k]), order, _packed(reply[ends[j] - len(keys[j]) : ends[j]]), None, None)
             stored = (total > 0) & (wanted | full)
-            raw = distinct[stored].view(np.uint8).reshape(-1, 8)[:, :width]
-            emit(TABLE, order, _packed(total[stored]), histogram, raw.tobytes())
+            emit(TABLE, order, _packed(total[stored]), histogram, _packed_keys(distinct[stored]))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         return pa.table([pa.array(out[k], t) for k, t in zip(out, types, strict=True)], list(out))
 
@@ -382,7 +413,9 @@ def _score(order_max: int, by_order: dict[int, Discounts], full: bool):
                 where = np.full(len(got), -1)
                 where[g.place[inside][::-1]] = g.at[inside][::-1]
                 owner = np.flatnonzero((got < 0) & (where >= 0))
-                ctx, first, at = np.unique(before_keys[where[owner] - 1], return_index=True, return_inverse=True)
+                ctx, at = grouped(before_keys[where[owner] - 1])
+                first = np.zeros(len(ctx), np.int64)
+                first[at] = np.arange(len(at))
                 lost = np.bincount(at, count[owner] - d.kept(count[owner]), len(ctx))
                 emit(CONTEXT, order, key=ctx.view(np.int64), n=before.counts[where[owner[first]] - 1], x=lost, y=np.bincount(at, p_here[where[owner]], len(ctx)))
                 seen = c > 0
@@ -436,7 +469,7 @@ def _run(docs: DataFrame, order: int, id_col: str, text_col: str, held: Column,
     for n in range(2, order + 1):  # words and pairs first, then each order by what the ones below left open
         asked = _asked(blocks, order, bits, full) if n == 2 else blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_asked_more(n, order, bits, full), ASKED)
         if model is not None:
-            asked = asked.union(model.counts.filter(F.col("order") == n if n > 2 else F.col("order") <= 2).select("bucket", F.lit(TABLE).cast("long").alias("block"), "order", "keys", "counts"))
+            asked = asked.union(model.counts.filter(F.col("order") == n if n > 2 else F.col("order") <= 2).filter("length(keys) > 0").select("bucket", F.lit(TABLE).cast("long").alias("block"), "order", "keys", "counts"))
         found = materialise(asked.groupBy("bucket").applyInArrow(_answer(order, full), ANSWERS), f"ngram-counts-{n}")
         stored = found.filter(F.col("block") == TABLE)
         told = found.filter(F.col("block") != TABLE).select("block", "order", "bucket", "counts")

@@ -40,3 +40,15 @@ def test_as_of_takes_fact_of_the_same_day_and_none_before(spark):
 @pytest.mark.parametrize("op", [windows.momentum_signal, windows.rsi, windows.tail_risk, windows.market_beta])
 def test_empty_bars(spark, op):
     assert op(spark.createDataFrame([], BARS)).collect() == []
+
+
+def test_normal_functions_against_the_standard_library(spark):
+    from statistics import NormalDist
+
+    from tidepanel.functions.columns import norm_cdf, norm_ppf
+
+    rows = [(k / 1000, k / 125 - 4) for k in range(1, 1000)] + [(1e-9, -9.5), (1 - 1e-9, 9.5), (0.0001, -7.0), (0.9999, 7.2)]
+    for p, x, ppf, cdf in spark.createDataFrame(rows, "p double, x double").select("p", "x", norm_ppf("p"), norm_cdf("x")).collect():
+        assert abs(ppf - NormalDist().inv_cdf(p)) < 1e-9
+        assert abs(cdf - NormalDist().cdf(x)) < 1e-13
+    assert spark.createDataFrame([(0.0,), (1.0,), (None,)], "p double").select(norm_ppf("p").alias("v")).filter("v is not null").count() == 0

@@ -118,22 +118,35 @@ def ewm(x: Column | str, alpha: float, reach: int, adjust: bool = True) -> Colum
     return F.when(col(x).isNotNull(), start)
 
 
+def _polynomial(x: Column, *factors: float) -> Column:
+    """Horner's form, the highest power's factor first."""
+    out = F.lit(factors[0])
+    for f in factors[1:]:
+        out = out * x + f
+    return out
+
+
 def norm_cdf(x: Column | str) -> Column:
-    """Standard normal distribution function (Abramowitz and Stegun 26.2.17, error under 7.5e-8)."""
-    # fixed values of that formula
-    b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+    """Standard normal distribution function: Hart's rational form, and a continued fraction in the tails; exact to about 1e-15."""
     z = F.abs(col(x))
-    t = 1 / (1 + 0.2316419 * z)
-    poly = sum((c * F.pow(t, F.lit(k)) for k, c in enumerate(b, 1)), F.lit(0.0))
-    upper = F.exp(-z * z / 2) / 2.5066282746310002 * poly
+    # fixed values of that formula
+    over = _polynomial(z, 0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+    under = _polynomial(z, 0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+    tail = z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65))))
+    upper = F.exp(-z * z / 2) * F.when(z < 7.07106781186547, over / under).otherwise(1 / (tail * 2.506628274631))
     return F.when(col(x) >= 0, 1 - upper).otherwise(upper)
 
 
 def norm_ppf(p: Column | str) -> Column:
-    """Inverse of the standard normal distribution function (Abramowitz and Stegun 26.2.23, error under 4.5e-4)."""
+    """Inverse of the standard normal distribution function: Acklam's rational form and one step of Halley's method; exact to about 1e-14."""
+    q = col(p)
     # fixed values of that formula
-    c, d = (2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308)
-    q = F.least(col(p), 1 - col(p))
-    t = F.sqrt(-2 * F.ln(q))
-    x = t - (c[0] + t * (c[1] + t * c[2])) / (1 + t * (d[0] + t * (d[1] + t * d[2])))
-    return F.when(col(p) < 0.5, -x).otherwise(x)
+    r = (q - 0.5) * (q - 0.5)
+    middle = (q - 0.5) * _polynomial(r, -39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    middle = middle / _polynomial(r, -54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+    t = F.sqrt(-2 * F.ln(F.least(q, 1 - q)))
+    tail = _polynomial(t, -0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    tail = tail / _polynomial(t, 0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+    start = F.when(q < 0.02425, tail).when(q > 1 - 0.02425, -tail).otherwise(middle)
+    off = (norm_cdf(start) - q) * 2.5066282746310002 * F.exp(start * start / 2)
+    return F.when((q > 0) & (q < 1), start - off / (1 + start * off / 2))

@@ -24,9 +24,9 @@ def monthly_table(daily: DataFrame) -> DataFrame:
     return months.join(m.groupBy("year").agg(F.round(100 * compound(), 2).alias("ytd")), "year")
 
 
-def annual_returns(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
+def annual_returns(daily: DataFrame, benchmark: DataFrame, keys: list[str] | None = None) -> DataFrame:
     both = daily.join(benchmark.withColumnRenamed("ret", "bench"), "date")
-    return both.groupBy(F.year("date").alias("year")).agg(compound().alias("strategy"), compound("bench").alias("benchmark")).withColumn("alpha", F.col("strategy") - F.col("benchmark"))
+    return both.groupBy(*(keys or []), F.year("date").alias("year")).agg(compound().alias("strategy"), compound("bench").alias("benchmark")).withColumn("alpha", F.col("strategy") - F.col("benchmark"))
 
 
 def win_rate_monthly(daily: DataFrame) -> DataFrame:

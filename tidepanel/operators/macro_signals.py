@@ -55,7 +55,7 @@ def currency_regime(bars: DataFrame, calendar: DataFrame, window: int = 756, lea
 def volatility_features(bars: DataFrame, calendar: DataFrame, window: int = 252) -> DataFrame:
     """Slope of ``b`` over ``a``, share of the last ``window`` days not above today's ``a``, and its change over five days, beside every row."""
     frame = F.collect_list("a").over(by_ticker().rowsBetween(1 - window, 0))
-    share = F.size(F.filter(frame, lambda v: v <= F.col("a"))) / F.size(frame)
+    share = F.try_divide(F.size(F.filter(frame, lambda v: v <= F.col("a"))), F.size(frame))
     c = calendar.withColumns({"term_slope": div("b", "a") - 1, "percentile": share, "change_5d": change("a", 5)})
     return spread_on(bars, c, ["term_slope", "percentile", "change_5d"])
 

@@ -102,9 +102,8 @@ def _stress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _annual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir).filter("strategy_id = 'ASIA'").drop("strategy_id")
-    out = A.annual_returns(calm(d), calm(market(spark, sf_dir)))
-    return rounded(out.withColumn("year", F.col("year").cast("long")), ["year"], ["strategy", "benchmark", "alpha"])
+    out = A.annual_returns(calm(daily(spark, sf_dir)), calm(market(spark, sf_dir)), ["strategy_id"])
+    return rounded(out.withColumn("year", F.col("year").cast("long")), ["strategy_id", "year"], ["strategy", "benchmark", "alpha"])
 
 
 def _tear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,12 +127,21 @@ def _psr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.probabilistic_sharpe(daily(spark, sf_dir)), ["strategy_id", "n"], ["skew", "kurt", "psr"])
 
 
-CDF = "CASE WHEN z >= 0 THEN 1 - u ELSE u END"
+def series_cdf(z: str) -> str:
+    """The normal distribution function by its power series, which shares nothing with the plan's form."""
+    terms = f"list_transform(range(0, 90), lambda k: pow(-1, k) * pow({z}, 2 * k + 1) / (gamma(k + 1) * pow(2, k) * (2 * k + 1)))"
+    return f"(CASE WHEN abs({z}) > 6 THEN CAST({z} > 0 AS INTEGER) ELSE 0.5 + list_sum({terms}) / sqrt(2 * pi()) END)"
+
+
+def series_ppf(p: str) -> list[dict[str, str]]:
+    """Steps to its inverse ``x4``: Newton's method on the series, from Tukey's lambda form."""
+    steps = [{"x0": f"4.91 * (pow({p}, 0.14) - pow(1 - {p}, 0.14))"}]
+    return steps + [{f"x{k + 1}": f"x{k} - ({series_cdf(f'x{k}')} - {p}) * sqrt(2 * pi()) * exp(x{k} * x{k} / 2)"} for k in range(4)]
+
+
 PSR_SQL = f"""WITH {S.DAILY}, {DAILY}, m AS (SELECT strategy_id, count(ret) AS n, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM daily GROUP BY 1 HAVING count(ret) > 3),
 z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM m),
-t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
-u AS (SELECT *, exp(-z * z / 2) / 2.5066282746310002 * (0.319381530 * t - 0.356563782 * t ** 2 + 1.781477937 * t ** 3 - 1.821255978 * t ** 4 + 1.330274429 * t ** 5) AS u FROM t),
-f AS (SELECT strategy_id, n, skew, kurt, {CDF} AS psr FROM u) SELECT strategy_id, n, {S.rounded('skew', 'kurt', 'psr')} FROM f"""
+f AS (SELECT strategy_id, n, skew, kurt, {series_cdf('z')} AS psr FROM z) SELECT strategy_id, n, {S.rounded('skew', 'kurt', 'psr')} FROM f"""
 
 
 def _spells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,11 +198,10 @@ def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.withColumn("ppf", norm_ppf("p")).withColumn("cdf", norm_cdf("p")), ["ticker", "date"], ["ppf", "cdf"])
 
 
-PPF = "sqrt(-2 * ln(least({p}, 1 - {p})))"
 NORMAL_SQL = S.query(
     {"p": "(volume % 97) / 100 + 0.01"},
-    {"t": PPF.format(p="p"), "t2": "1 / (1 + 0.2316419 * p)"},
-    {"ppf": "CASE WHEN p < 0.5 THEN -1 ELSE 1 END * (t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308))))", "cdf": "1 - exp(-p * p / 2) / 2.5066282746310002 * (0.319381530 * t2 - 0.356563782 * t2 ** 2 + 1.781477937 * t2 ** 3 - 1.821255978 * t2 ** 4 + 1.330274429 * t2 ** 5)"},
+    *series_ppf("p"),
+    {"ppf": "x4", "cdf": series_cdf("p")},
     final="SELECT ticker, date, " + S.rounded("ppf", "cdf") + " FROM {at}",
 )
 
@@ -226,8 +233,8 @@ TABLE: dict[str, tuple[Query, str]] = {
         on_panel(lambda p: R.rank_normal(p, "mom")),
         sql(
             {"p": f"greatest(0.0001, least(0.9999, {S.rank_pct('mom')}))"},
-            {"t": PPF.format(p="p")},
-            {"value": "CASE WHEN mom IS NOT NULL THEN CASE WHEN p < 0.5 THEN -1 ELSE 1 END * (t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))) END"},
+            *series_ppf("p"),
+            {"value": "CASE WHEN mom IS NOT NULL THEN x4 END"},
         ),
     ),
     "P4_normal_functions": (_normal, NORMAL_SQL),
@@ -268,7 +275,7 @@ TABLE: dict[str, tuple[Query, str]] = {
     ),
     "A3_annual_returns": (
         _annual,
-        f"WITH {S.DAILY}, {DAILY}, y AS (SELECT year(date) AS year, {COMP.format('ret * 0.02')} AS strategy, {COMP.format('bench * 0.02')} AS benchmark FROM daily JOIN market USING (date) WHERE strategy_id = 'ASIA' GROUP BY 1), z AS (SELECT *, strategy - benchmark AS alpha FROM y) SELECT year, {S.rounded('strategy', 'benchmark', 'alpha')} FROM z",
+        f"WITH {S.DAILY}, {DAILY}, y AS (SELECT strategy_id, year(date) AS year, {COMP.format('ret * 0.02')} AS strategy, {COMP.format('bench * 0.02')} AS benchmark FROM daily JOIN market USING (date) GROUP BY 1, 2), z AS (SELECT *, strategy - benchmark AS alpha FROM y) SELECT strategy_id, year, {S.rounded('strategy', 'benchmark', 'alpha')} FROM z",
     ),
     "A4_monthly_win_rate": (
         lambda s, d: rounded(A.win_rate_monthly(market(s, d)), ["months"], ["value"]),

@@ -78,9 +78,8 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dense(s: SparkSession, d: str) -> DataFrame:
-    b = tables.bars(s, d, True).filter(F.col("ticker") % 4 == 1)
-    calendar = tables.bars(s, d, True)
-    return rounded(C.densify(b.select("ticker", "date", "close", "volume"), calendar), ["ticker", "date"], ["close", "volume"])
+    b = tables.bars(s, d, True)
+    return rounded(C.densify(b.select("ticker", "date", "close", "volume"), b), ["ticker", "date"], ["close", "volume"])
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
@@ -210,7 +209,7 @@ TABLE: dict[str, tuple[Query, str]] = {
     ),
     "C7_densify": (
         _dense,
-        f"WITH {S.MONTHLY}, life AS (SELECT ticker, min(date) AS f, max(date) AS t FROM bars WHERE ticker % 4 = 1 GROUP BY ticker), days AS (SELECT DISTINCT date FROM bars), grid AS (SELECT ticker, date FROM life JOIN days ON date BETWEEN f AND t) SELECT g.ticker, g.date, round(last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS close, round(coalesce(b.volume, 0), 6) + 0.0 AS volume FROM grid g LEFT JOIN bars b ON g.ticker = b.ticker AND g.date = b.date",
+        f"WITH {S.MONTHLY}, life AS (SELECT ticker, min(date) AS f, max(date) AS t FROM bars GROUP BY ticker), days AS (SELECT DISTINCT date FROM bars), grid AS (SELECT ticker, date FROM life JOIN days ON date BETWEEN f AND t) SELECT g.ticker, g.date, round(last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS close, round(coalesce(b.volume, 0), 6) + 0.0 AS volume FROM grid g LEFT JOIN bars b ON g.ticker = b.ticker AND g.date = b.date",
     ),
     "C8_quality_drop": (
         lambda s, d: rounded(C.quality_drop(tables.bars(s, d), 520, 950.0, 0.22), ["ticker", "date"], ["close"], 8),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,17 +105,34 @@ def volatility_target(weights: DataFrame, vol: str, target: float, correlation:
     return weights.withColumn("value", w * scale)
 
 
-def match_by_returns(left: DataFrame, right: DataFrame, least: int = 24, corr: float = 0.9) -> DataFrame:
+def match_by_returns(left: DataFrame, right: DataFrame, least: int = 24, corr: float = 0.9, block: int = 512) -> DataFrame:
     """One-to-one links of ids by the correlation of their monthly returns ``(id, month, ret)`` on common months.
 
-    Candidates are those that share a rounded return in a common month, not all pairs of ids.
+    Every id of the left is held against every id of the right, in pairs of blocks of about ``block`` ids: a task
+    multiplies two tables of months and ids, and only pairs with ``least`` months and the correlation leave it.
     """
-    key = F.round("ret", 3)
-    a = left.withColumn("_k", key)
-    b = right.select(F.col("id").alias("other"), "month", key.alias("_k"))
-    candidates = a.join(b, ["month", "_k"]).groupBy("id", "other").agg(F.count("*").alias("_n")).filter("_n >= 3").select("id", "other")
-    both = candidates.join(left, "id").join(right.select(F.col("id").alias("other"), "month", F.col("ret").alias("ret2")), ["other", "month"])
-    scored = both.groupBy("id", "other").agg(F.corr("ret", "ret2").alias("score"), F.count("*").alias("n")).filter((F.col("n") >= least) & (F.col("score") >= corr))
+    sides = [df.filter("ret is not null and not isnan(ret)").select("id", "month", "ret") for df in (left, right)]
+    parts = [max(1, math.ceil(df.select("id").distinct().count() / block)) for df in sides]
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = sides[0].select("*", place(parts[0]).alias("_a")).select("*", every(parts[1]).alias("_b"))
+    b = sides[1].select("*", place(parts[1]).alias("_b")).select("*", every(parts[0]).alias("_a"))
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        x, y = (df.pivot_table(index="month", columns="id", values="ret") for df in (one, two))
+        months = x.index.intersection(y.index)
+        rows, cols = x.columns.to_numpy("int64"), y.columns.to_numpy("int64")
+        x, y = x.loc[months].to_numpy(float), y.loc[months].to_numpy(float)
+        has_x, has_y = (~np.isnan(v) * 1.0 for v in (x, y))
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        n, sx, sy = has_x.T @ has_y, x.T @ has_y, has_x.T @ y
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = (n * ((x * x).T @ has_y) - sx * sx) * (n * (has_x.T @ (y * y)) - sy * sy)
+            score = np.round((n * (x.T @ y) - sx * sy) / np.sqrt(spread), 9)
+        i, j = np.nonzero((n >= least) & (score >= corr) & np.isfinite(score))
+        return pd.DataFrame({"id": rows[i], "other": cols[j], "n": n[i, j].astype("int64"), "score": score[i, j]})
+
+    scored = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(run, "id long, other long, n long, score double")
     best = scored.withColumn("_i", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter("_i = 1")
     return best.withColumn("_o", F.row_number().over(Window.partitionBy("other").orderBy(F.desc("score"), "id"))).filter("_o = 1").select("id", "other", "n", "score")
 

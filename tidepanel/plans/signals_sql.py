@@ -57,7 +57,8 @@ def _ratios(s: SparkSession, d: str) -> DataFrame:
 
 def _match(s: SparkSession, d: str) -> DataFrame:
     b = tables.bars(s, d, True).filter("ret is not null").select(F.col("ticker").alias("id"), F.col("date").alias("month"), "ret")
-    renamed = b.select((F.col("id") + 1000).alias("id"), "month", (F.col("ret") + 0.0).alias("ret"))
+    noise = ((F.col("id") * 7 + F.month("month") * 3) % 11 - 5) / F.lit(500.0)
+    renamed = b.select((F.col("id") + 1000).alias("id"), "month", (F.col("ret") + noise).alias("ret"))
     return rounded(G.match_by_returns(b, renamed), ["id", "other", "n"], ["score"])
 
 
@@ -144,7 +145,7 @@ TABLE: dict[str, tuple[Query, str]] = {
     ),
     "J7_match_by_returns": (
         _match,
-        f"WITH {S.MONTHLY}, b AS (SELECT ticker AS id, date AS month, ret FROM bars WHERE ret IS NOT NULL), s AS (SELECT a.id, o.id + 1000 AS other, corr(a.ret, o.ret) AS score, count(*) AS n FROM b a JOIN b o USING (month) GROUP BY 1, 2 HAVING count(*) >= 24 AND corr(a.ret, o.ret) >= 0.9), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS i FROM s) SELECT id, other, n, round(score, 6) + 0.0 AS score FROM k WHERE i = 1",
+        f"WITH {S.MONTHLY}, b AS (SELECT ticker AS id, date AS month, ret FROM bars WHERE ret IS NOT NULL), o AS (SELECT id, month, ret + ((id * 7 + month(month) * 3) % 11 - 5) / 500.0 AS ret FROM b), s AS (SELECT a.id, o.id + 1000 AS other, corr(a.ret, o.ret) AS score, count(*) AS n FROM b a JOIN o USING (month) GROUP BY 1, 2 HAVING count(*) >= 24 AND corr(a.ret, o.ret) >= 0.9), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS i FROM s), m AS (SELECT *, row_number() OVER (PARTITION BY other ORDER BY score DESC, id) AS j FROM k WHERE i = 1) SELECT id, other, n, round(score, 6) + 0.0 AS score FROM m WHERE j = 1",
     ),
     "G21_order_chunks": (
         _chunks,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, fill_in_middle, html_text, katz, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from tidepanel.llm import alignment, bpe_codec, decontaminate, fill_in_middle, html_text, katz, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from tidepanel.llm.common import new_path
 
 
@@ -77,6 +77,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("at").alias("chunk"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("lines").alias("n_lines"), F.col("kept_id").alias("kept_doc_id"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(_table(spark, sf_dir, "documents"), bpe_codec.load(), sentencepiece_codec.load()).withColumnRenamed("id", "doc_id")
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = bpe_codec.load()
+    back = bpe_codec.decoded(bpe_codec.encoded(_table(spark, sf_dir, "documents"), model), model)
+    return bpe_codec.digests(back).withColumnRenamed("id", "doc_id")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.restore(fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))

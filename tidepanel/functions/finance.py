@@ -45,5 +45,5 @@ def mid_price(bid: Column | str, ask: Column | str) -> Column:
 
 def defer_sale(gain: Column | str, days_held: Column | str, value: Column | str, st: float = 0.328, lt: float = 0.188, decay: float = 0.0002) -> Column:
     """Whether waiting for the long-term rate, at most 60 days, saves more tax than the decay costs."""
-    wait = 366 - col(days_held)
+    wait = 365 - col(days_held)
     return (wait > 0) & (wait <= 60) & (col(gain) > 0) & (col(gain) * (st - lt) > col(value) * decay * wait)

@@ -160,14 +160,6 @@ def _portfolio(s: SparkSession, d: str) -> DataFrame:
     return rounded(out, ["date"], ["value"])
 
 
-def _pnl(s: SparkSession, d: str) -> DataFrame:
-    f = tables.fills(s, d).withColumn("date", F.col("ts").cast("date"))
-    signed = F.when(F.col("side") == "BUY", -F.col("qty") * F.col("price")).otherwise(F.col("qty") * F.col("price"))
-    day = f.groupBy("account", "date").agg(F.sum(signed).alias("pnl"))
-    past = Window.partitionBy("account").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(day.withColumn("total", F.sum("pnl").over(past)), ["account", "date"], ["pnl", "total"], 4)
-
-
 def _sector_z(s: SparkSession, d: str) -> DataFrame:
     b = tables.bars(s, d, True).join(tables.sectors(s, d), "ticker")
     return rounded(b.withColumn("value", zscore(F.round("ret", 9), 3.0, ["date", "sector"])), ["ticker", "date"], ["value"])
@@ -193,10 +185,6 @@ TABLE: dict[str, tuple[Query, str]] = {
     ),
     "K2_merge_latest": (_merge, f"WITH {S.MONTHLY} SELECT ticker, date, round(close + CASE WHEN ticker % 3 = 0 THEN 1 ELSE 0 END, 8) + 0.0 AS close FROM bars"),
     "G1_latest_version": (_latest, f"WITH {FILLS}, k AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, fill_id DESC) AS k FROM fills) SELECT order_id, fill_id, side FROM k WHERE k = 1"),
-    "G8_realized_pnl": (
-        _pnl,
-        f"WITH {FILLS}, g AS (SELECT account, CAST(ts AS DATE) AS date, sum(CASE WHEN side = 'BUY' THEN -qty * price ELSE qty * price END) AS pnl FROM fills GROUP BY 1, 2) SELECT account, date, round(pnl, 4) + 0.0 AS pnl, round(sum(pnl) OVER (PARTITION BY account ORDER BY date), 4) + 0.0 AS total FROM g",
-    ),
     "G12_wash_sale": (
         _wash,
         f"WITH {FILLS}, f AS (SELECT *, fill_id % 5 AS ticker FROM fills) SELECT b.fill_id, EXISTS (SELECT 1 FROM f s WHERE s.side = 'SELL' AND 20 - s.price > 0 AND s.account = b.account AND s.ticker = b.ticker AND s.ts <= b.ts AND b.ts < s.ts + INTERVAL 31 DAY) AS blocked FROM f b WHERE b.side = 'BUY'",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from re import Pattern
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +24,36 @@ from tidepanel.llm.common import slices, texts
 MODEL_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: A chunk has at least and at most so many bytes (its end moves on to the next character); one place in ``DIVISOR`` ends it.
 MIN_BYTES, MAX_BYTES, DIVISOR = 64, 4096, 192
-#: Bytes under the rolling hash, a power of two.
-ROLL_BYTES = 32
+#: A number for each byte, from which the rolling hash is made.
+GEAR = np.array([xxhash.xxh32_intdigest(bytes([k])) for k in range(256)], np.uint32)
 #: Characters of chunks, and words, whose ids a Python worker remembers, twice.
 KNOWN_CHARS, KNOWN_WORDS = 8_000_000, 250_000
 #: Longer words are not remembered.
 WORD_CHARS = 48
 #: The end of a word is sure if so many characters follow it: the splitting rule looks no further ahead.
 AHEAD = 3
+#: Words up to so many bytes are merged side by side, longer ones alone.
+SHORT_BYTES = 48
+#: Words of new chunks that are held before they are encoded.
+WORDS_AT_ONCE = 200_000
+#: The words of byte-level models: contractions, letters, numbers, other characters, each with a space before, and white space. Fixed, as the model's ids follow from it.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|\s+(?!\S)|\s+"
+ASCII_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Characters of a text that are cut into chunks at once; bounds the memory of long texts.
 PART_CHARS = 1 << 20
 
 
 @dataclass
 class Vocabulary:
-    """A byte-level BPE model: ids of single bytes, merges (rank and new id by pair of ids), special tokens, every id's bytes, the splitting rule."""
+    """A byte-level BPE model: ids of single bytes, merges (the rank of a pair of ids, and each rank's new id), special tokens, every id's bytes, the splitting rule and the characters that only it knows."""
 
     byte_ids: list[int]
-    merges: dict[tuple[int, int], tuple[int, int]]
+    merges: dict[int, int]
+    made: list[int]
     special: dict[str, int]
     surface: list[bytes]
     rule: str
+    later: str
     digest: bytes
     chunks: dict[str, tuple[int, bytes]] = field(default_factory=dict)
     older_chunks: dict[str, tuple[int, bytes]] = field(default_factory=dict)
@@ -50,15 +61,28 @@ class Vocabulary:
     older_words: dict[str, bytes] = field(default_factory=dict)
     held: int = 0
     encoded: int = 0
-    word: regex.Pattern | None = None
+    words_of: Callable[[str], Pattern] | None = None
     stop: regex.Pattern | None = None
+    arrays: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"chunks": {}, "older_chunks": {}, "words": {}, "older_words": {}, "held": 0, "encoded": 0, "word": None, "stop": None}
+        return self.__dict__ | {"chunks": {}, "older_chunks": {}, "words": {}, "older_words": {}, "held": 0, "encoded": 0, "words_of": None, "stop": None, "arrays": None}
 
     def ready(self) -> Vocabulary:
-        if self.word is None:
-            self.word = regex.compile(self.rule, regex.V1)
+        if self.words_of is None:
+            plain, usual, full = re.compile(ASCII_RULE), regex.compile(RULE.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]")), regex.compile(self.rule, regex.V1)
+            least = min(map(ord, self.later)) if self.later else 0x110000  # below it, both Unicode versions agree
+            newer = {chr(c) for a, b in zip(self.later[::3], self.later[2::3], strict=True) for c in range(ord(a), ord(b) + 1)}
+
+            def words_of(text: str) -> Pattern:
+                if text.isascii():
+                    return plain
+                return full if ord(max(has := set(text))) >= least and not newer.isdisjoint(has) else usual
+
+            self.words_of = words_of
+            pairs = np.fromiter(self.merges, np.int64, len(self.merges))
+            order = np.argsort(pairs)
+            self.arrays = pairs[order], np.fromiter(self.merges.values(), np.int64, len(self.merges))[order], np.array(self.made, np.int64), np.array(self.byte_ids, np.int64), len(self.made)
             self.stop = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         return self
 
@@ -70,29 +94,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def splitting_rule() -> str:
-    """The words of byte-level models: contractions, letters, numbers, other characters, each with a space before, and white space.
-
-    Which characters are letters and numbers is the tokenizers library's Unicode version, so those that the regular
-    expressions here know besides are taken out of both.
-    """
+def splitting_rule() -> tuple[str, str]:
+    """The rule with the letters and numbers of the tokenizers library's Unicode version, and as ranges the characters that are neither there, but are here."""
     from tokenizers import Regex, normalizers
 
     every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    classes = []
+    classes, ranges = [], []
     for p in (r"\p{L}", r"\p{N}"):
         mine = "".join(regex.findall(p, every))
-        later = sorted(map(ord, normalizers.Replace(Regex(p), "").normalize_str(mine)))
         runs: list[list[int]] = []
-        for c in later:
+        for c in sorted(map(ord, normalizers.Replace(Regex(p), "").normalize_str(mine))):
             if runs and runs[-1][1] == c - 1:
                 runs[-1][1] = c
             else:
                 runs.append([c, c])
-        out = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-        classes.append(f"[{p}--[{out}]]" if out else p)
+        ranges.append("".join(f"{chr(a)}-{chr(b)}" for a, b in runs))
+        classes.append(f"[{p}--[{ranges[-1]}]]" if runs else p)
     letter, number = classes
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?(?:(?!{letter}|{number})\S)+|\s+(?!\S)|\s+"
+    return RULE.format(letter=letter, number=number, other=rf"(?:(?!{letter}|{number})\S)"), "".join(ranges)
 
 
 def load(path: str = MODEL_PATH) -> Vocabulary:
@@ -107,38 +126,101 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
         surface[k] = piece.encode() if piece in special else bytes(letters[c] for c in piece)
     for piece, k in special.items():
         surface[k] = piece.encode()
-    merges = {}
+    merges, made = {}, []
     for rank, pair in enumerate(model["model"]["merges"]):
         a, b = pair if isinstance(pair, list) else pair.split(" ")
-        merges[ids[a], ids[b]] = rank, ids[a + b]
+        merges[ids[a] << 32 | ids[b]] = rank
+        made.append(ids[a + b])
     byte_ids = [0] * 256
     for c, b in letters.items():
         byte_ids[b] = ids[c]
-    return Vocabulary(byte_ids, merges, special, surface, splitting_rule(), hashlib.sha1(raw.encode()).digest())
+    return Vocabulary(byte_ids, merges, made, special, surface, *splitting_rule(), hashlib.sha1(raw.encode()).digest())
+
+
+def merged(words: list[str], v: Vocabulary) -> list[bytes]:
+    """Ids (32-bit integers) of words: in each, the pair of the lowest rank is joined first, the leftmost of equals, until none is left.
+
+    All words take one step at a time together; those without a pair to join leave.
+    """
+    bodies = [w.encode() for w in words]
+    out: list[bytes] = [b""] * len(words)
+    short = [k for k, b in enumerate(bodies) if len(b) <= SHORT_BYTES]
+    for k, b in enumerate(bodies):
+        if len(b) > SHORT_BYTES:
+            out[k] = _merged_alone(words[k], v)
+    if not short:
+        return out
+    keys, ranks_of, made, single, none = v.arrays
+    ids = single[np.frombuffer(b"".join([bodies[k] for k in short]), np.uint8)]
+    word = np.repeat(np.array(short), [len(bodies[k]) for k in short])
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where(keys[at] == pair, ranks_of[at], none)
+
+    ranks = np.full(len(ids), none)
+    same = np.flatnonzero(word[:-1] == word[1:])
+    ranks[same] = rank(ids[same], ids[same + 1])
+    done_ids, done_word = [], []
+    while len(ids):
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        sizes = np.diff(starts, append=len(ids))
+        least = np.repeat(np.minimum.reduceat(ranks, starts), sizes)
+        done = least == none
+        if done.any():
+            done_ids.append(ids[done])
+            done_word.append(word[done])
+            ids, word, ranks, least = ids[~done], word[~done], ranks[~done], least[~done]
+            if not len(ids):
+                break
+        hits = np.flatnonzero(ranks == least)
+        hits = hits[np.diff(word[hits], prepend=-1) != 0]  # the leftmost of each word; every word has one
+        ids[hits] = made[ranks[hits]]
+        keep = np.ones(len(ids), bool)
+        keep[hits + 1] = False
+        ranks[hits] = none
+        hits = hits - np.arange(len(hits))  # places after the right halves have gone
+        ids, word, ranks = ids[keep], word[keep], ranks[keep]
+        after = hits[(hits + 1 < len(ids))]
+        after = after[word[after] == word[after + 1]]
+        ranks[after] = rank(ids[after], ids[after + 1])
+        before = hits[hits > 0] - 1
+        before = before[word[before] == word[before + 1]]
+        ranks[before] = rank(ids[before], ids[before + 1])
+    if done_ids:
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        ids, word = ids[order].astype(np.int32), word[order]
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        flat, ends = ids.tobytes(), np.append(starts[1:], len(ids))
+        for k, a, b in zip(word[starts].tolist(), (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            out[k] = flat[a:b]
+    return out
 
 
-def merged(word: str, v: Vocabulary) -> bytes:
-    """Ids (32-bit integers) of one word: the pair of the lowest rank is joined first, the leftmost of equals, until none is left."""
+def _merged_alone(word: str, v: Vocabulary) -> bytes:
+    """The same for one word, in time that grows little faster than it: pairs wait in a heap, those that have changed since are skipped."""
     parts = list(map(v.byte_ids.__getitem__, word.encode()))
-    n, merges = len(parts), v.merges
+    n, rank, made = len(parts), v.merges.get, v.made
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(*m, k) for k, pair in enumerate(zip(parts, parts[1:], strict=False)) if (m := merges.get(pair))]
-    heap = [(rank, k, new) for rank, new, k in heap]
+    heap = [(r, k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank(a << 32 | b)) is not None]
     heapify(heap)
     while heap:
-        rank, k, new = heappop(heap)
-        r = after[k]
-        if r >= n or merges.get((parts[k], parts[r])) != (rank, new):
-            continue  # one of the two has been joined since
-        parts[k], parts[r] = new, -1
-        after[k] = after[r]
-        if after[k] < n:
-            before[after[k]] = k
-            if m := merges.get((new, parts[after[k]])):
-                heappush(heap, (m[0], k, m[1]))
-        p = before[k]
-        if p >= 0 and (m := merges.get((parts[p], new))):
-            heappush(heap, (m[0], p, m[1]))
+        least, k = heappop(heap)
+        right = after[k]
+        if right >= n or parts[k] < 0 or rank(parts[k] << 32 | parts[right]) != least:
+            continue
+        new = parts[k] = made[least]
+        parts[right] = -1
+        after[k] = right = after[right]
+        if right < n:
+            before[right] = k
+            if (r := rank(new << 32 | parts[right])) is not None:
+                heappush(heap, (r, k))
+        left = before[k]
+        if left >= 0 and (r := rank(parts[left] << 32 | new)) is not None:
+            heappush(heap, (r, left))
     return array("i", [k for k in parts if k >= 0]).tobytes()
 
 
@@ -147,7 +229,7 @@ def _word(word: str, v: Vocabulary) -> bytes:
     if ids is None:
         ids = v.older_words.get(word)
         if ids is None:
-            ids = merged(word, v)
+            ids = _merged_alone(word, v)
         if len(word) <= WORD_CHARS:
             if len(v.words) >= KNOWN_WORDS:  # what was used since the last change stays
                 v.older_words, v.words = v.words, {}
@@ -155,105 +237,140 @@ def _word(word: str, v: Vocabulary) -> bytes:
     return ids
 
 
-def bounds(text: str) -> tuple[list[int], bytes]:
-    """Where the chunks of a text end, in characters, and its UTF-8 bytes.
+def bounds(text: str) -> list[int]:
+    """Where the chunks of a text end, in characters; none for the empty text.
 
-    A bound is where the hash of the last ``ROLL_BYTES`` bytes says so, at the next character, so equal passages have
-    equal bounds from their first one on, whatever stands around them. Least and largest size go before.
+    A bound is where the hash of the last 32 bytes says so, at the next character, so equal passages have equal bounds
+    from their first one on, whatever stands around them. Least and largest size go before.
     """
-    body = text.encode()
-    b = np.frombuffer(body, np.uint8)
-    rolled = (b.astype(np.uint64) + 1) * np.uint64(0x9E3779B97F4A7C15)
-    rolled ^= rolled >> np.uint64(29)
-    factor, width = 0xBF58476D1CE4E5B9, 1
-    while width < ROLL_BYTES:  # the hash of 2k bytes from two of k bytes
+    b = np.frombuffer(text.encode(), np.uint8)
+    rolled, width = GEAR[b], 1
+    while width < 32:  # the hash of 2k bytes from two of k bytes; each byte back shifts by one bit more
         wider = rolled.copy()
-        wider[width:] += rolled[:-width] * np.uint64(factor) if len(b) > width else rolled[:0]
-        rolled, width, factor = wider, 2 * width, factor * factor & ((1 << 64) - 1)
-    marks = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(DIVISOR) == 0) + 1
-    starts = np.flatnonzero((b & 0xC0) != 0x80)
+        wider[width:] += rolled[:-width] << np.uint32(width)
+        rolled, width = wider, 2 * width
     begin, ends = 0, []
-    for m in chain(marks.tolist(), (len(b),)):
+    for m in chain((np.flatnonzero(rolled < (1 << 32) // DIVISOR) + 1).tolist(), (len(b),)):
         while m - begin > MAX_BYTES:
             begin += MAX_BYTES
             ends.append(begin)
         if m - begin >= MIN_BYTES:
             begin = m
             ends.append(m)
-    if not ends or ends[-1] < len(b):
+    if len(b) and (not ends or ends[-1] < len(b)):
         ends.append(len(b))
-    return np.unique(np.searchsorted(starts, np.array(ends))).tolist(), body
+    if len(b) == len(text):
+        return ends
+    return np.unique(np.searchsorted(np.flatnonzero((b & 0xC0) != 0x80), ends)).tolist()
+
+
+def _known(chunk: str, v: Vocabulary) -> tuple[int, bytes] | None:
+    return v.chunks.get(chunk) or v.older_chunks.get(chunk)
+
+
+def _keep(chunk: str, entry: tuple[int, bytes], v: Vocabulary) -> None:
+    if v.held >= KNOWN_CHARS:
+        v.older_chunks, v.chunks, v.held = v.chunks, {}, 0
+    if chunk not in v.chunks:
+        v.chunks[chunk] = entry
+        v.held += len(chunk)
 
 
-def _chunk(chunk: str, v: Vocabulary) -> tuple[int, bytes]:
-    """Of a chunk encoded alone: where its first word starts whose end is not sure, and the ids of the words before."""
-    out = v.chunks.get(chunk)
-    if out is None:
-        out = v.older_chunks.get(chunk)
-        if out is None:
-            v.encoded += 1
-            words = v.word.findall(chunk)
+def _learn(texts_and_ends: Iterable[tuple[str, list[int]]], v: Vocabulary) -> dict[str, tuple[int, bytes]]:
+    """Every chunk of these texts, encoded alone: where its first word starts whose end is not sure, and the ids of the words before.
+
+    Those not seen before are encoded together: their words are listed once, and the new words merged side by side.
+    """
+    out: dict[str, tuple[int, bytes]] = {}
+    fresh: dict[str, tuple[int, list[str]]] = {}
+    waiting = 0
+
+    def flush() -> None:
+        nonlocal waiting
+        ids = {w: v.words.get(w) or v.older_words.get(w) for w in chain.from_iterable(words for _, words in fresh.values())}
+        need = [w for w, i in ids.items() if i is None]
+        ids.update(zip(need, merged(need, v), strict=True))
+        for w, i in ids.items():
+            if len(w) <= WORD_CHARS and w not in v.words:
+                if len(v.words) >= KNOWN_WORDS:  # what was used since the last change stays
+                    v.older_words, v.words = v.words, {}
+                v.words[w] = i
+        for chunk, (at, words) in fresh.items():
+            out[chunk] = at, b"".join(map(ids.__getitem__, words))
+            _keep(chunk, out[chunk], v)
+        v.encoded += len(fresh)
+        fresh.clear()
+        waiting = 0
+
+    for text, ends in texts_and_ends:
+        begin = 0
+        for end in ends:
+            chunk, begin = text[begin:end], end
+            if chunk in out or chunk in fresh:
+                continue
+            if entry := _known(chunk, v):
+                out[chunk] = entry
+                _keep(chunk, entry, v)
+                continue
+            words = v.words_of(chunk).findall(chunk)
             k, at = len(words), len(chunk)
             while k and at > len(chunk) - AHEAD:
                 k -= 1
                 at -= len(words[k])
-            ids = list(map(v.words.get, words[:k]))
-            if None in ids:
-                ids = [_word(w, v) if i is None else i for w, i in zip(words, ids, strict=False)]
-            out = at, b"".join(ids)
-        if v.held >= KNOWN_CHARS:
-            v.older_chunks, v.chunks, v.held = v.chunks, {}, 0
-        v.chunks[chunk] = out
-        v.held += len(chunk)
+            fresh[chunk] = at, words[:k]
+            waiting += k
+            if waiting > WORDS_AT_ONCE:
+                flush()
+    flush()
     return out
 
 
-def _segment(text: str, v: Vocabulary) -> Iterator[bytes]:
+def _segment(text: str, ends: list[int], chunks: dict[str, tuple[int, bytes]], v: Vocabulary) -> Iterator[bytes]:
     """Ids of a text without special tokens, chunk by chunk.
 
     ``at`` is always a bound between words of the whole text. At a join the words of the text are encoded anew from
     there, and the chunk's own words are passed over, until both have a bound at one place. From there on both are
     the same, as a word depends on nothing before it, up to the words at the chunk's end that the next join repairs.
     """
-    match, at, begin = v.word.match, 0, 0
-    for part in range(0, len(text), PART_CHARS):
-        for end in bounds(text[part : part + PART_CHARS])[0]:
-            start, end = begin, part + end
-            if end == start:
-                continue
-            chunk, begin = text[start:end], end
-            if at >= end:
-                continue
-            size, ids = _chunk(chunk, v)
-            sure, own, dropped = start + size, start, 0
-            while at != own:
-                if at < own:
-                    m = match(text, at)
-                    yield _word(m[0], v)
-                    at = m.end()
-                elif own < sure:
-                    m = match(chunk, own - start)
-                    dropped += len(_word(m[0], v))
-                    own = start + m.end()
-                else:
-                    break
-            if at == own and at <= sure:
-                yield ids[dropped:]
-                at = sure
+    match, at, start = v.words_of(text).match, 0, 0
+    for end in ends:
+        begin, start = start, end
+        if at >= end:
+            continue
+        chunk = text[begin:end]
+        size, ids = chunks[chunk]
+        sure, own, dropped = begin + size, begin, 0
+        while at != own:
+            if at < own:
+                m = match(text, at)
+                yield _word(m[0], v)
+                at = m.end()
+            elif own < sure:
+                m = match(chunk, own - begin)
+                dropped += len(_word(m[0], v))
+                own = begin + m.end()
+            else:
+                break
+        if at == own and at <= sure:
+            yield ids[dropped:]
+            at = sure
     while at < len(text):
         m = match(text, at)
         yield _word(m[0], v)
         at = m.end()
 
 
+def encode_all(all_texts: list[str], v: Vocabulary, special: bool = True) -> list[bytes]:
+    """Ids (32-bit integers) of texts. Special tokens in them have their own ids, or are plain text if not ``special``. Empty texts have none."""
+    split = v.stop.split if special and v.stop else lambda text: [text]
+    parts = [[(part, None if k % 2 else all_bounds(part)) for k, part in enumerate(split(text))] for text in all_texts]
+    chunks = _learn(((part, ends) for text in parts for part, ends in text if ends is not None), v)
+    one = {name: array("i", [k]).tobytes() for name, k in v.special.items()}
+    return [b"".join(chain.from_iterable([one[part]] if ends is None else _segment(part, ends, chunks, v) for part, ends in text)) for text in parts]
+
+
 def encode(text: str, v: Vocabulary, special: bool = True) -> bytes:
-    """Ids (32-bit integers) of a text. Special tokens in it have their own ids, or are plain text if not ``special``. An empty text has none."""
-    if not (special and v.stop):
-        return b"".join(_segment(text, v))
-    out: list[bytes] = []
-    for k, part in enumerate(v.stop.split(text)):
-        out += [array("i", [v.special[part]]).tobytes()] if k % 2 else _segment(part, v)
-    return b"".join(out)
+    return encode_all([text], v, special)[0]
 
 
 def decode(ids: list[int | None], v: Vocabulary) -> str:
@@ -273,13 +390,19 @@ def held(v: Vocabulary) -> Vocabulary:
     return _HELD.setdefault(v.digest, v).ready()
 
 
+def all_bounds(text: str) -> list[int]:
+    """``bounds`` of a text in parts, so that a long one is never hashed at once."""
+    if len(text) <= PART_CHARS:
+        return bounds(text)
+    return [at + end for at in range(0, len(text), PART_CHARS) for end in bounds(text[at : at + PART_CHARS])]
+
+
 def sketch(text: str) -> int:
     """The least hash of a text's chunks, signed; texts that have most chunks in common mostly have the same. The empty text has the largest."""
     least, at = (1 << 64) - 1, 0
-    for part in range(0, len(text), PART_CHARS):
-        for end in bounds(text[part : part + PART_CHARS])[0]:
-            least = min(least, xxhash.xxh3_64_intdigest(text[at : part + end]))
-            at = part + end
+    for end in all_bounds(text):
+        least = min(least, xxhash.xxh3_64_intdigest(text[at:end]))
+        at = end
     return least - (1 << 63)
 
 
@@ -316,7 +439,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held(shared.value)
         for b in slices(batches, 64):
-            lists = [np.frombuffer(encode(t, v, special), np.int32) for t in texts(b.column(1))]
+            lists = [np.frombuffer(ids, np.int32) for ids in encode_all(texts(b.column(1)), v, special)]
             sizes = np.array([len(x) for x in lists], np.int64)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))

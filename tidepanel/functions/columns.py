@@ -70,12 +70,14 @@ def momentum(x: Column | str, n: int, skip: int = 1) -> Column:
 
 
 def rank_pct(x: Column | str, by: str | list[str] = "date") -> Column:
-    """Rank among the non-null values of a date, ties averaged, divided by their number; null stays null."""
-    keys = [by] if isinstance(by, str) else by
-    group = Window.partitionBy(*keys, col(x).isNull())
-    ordered = group.orderBy(col(x))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, col(x)))
-    return F.when(col(x).isNotNull(), (F.rank().over(ordered) + (ties - 1) / 2) / F.count(col(x)).over(group))
+    """Rank among the non-null values of a date, ties averaged, divided by their number; null stays null.
+
+    The mean of the ranks from either end; every window is by the same key, so any number of ranks takes one shuffle.
+    """
+    group = Window.partitionBy(*([by] if isinstance(by, str) else by))
+    n = F.count(col(x)).over(group)
+    up, down = F.rank().over(group.orderBy(F.asc_nulls_last(col(x)))), F.rank().over(group.orderBy(F.desc_nulls_last(col(x))))
+    return F.when(col(x).isNotNull(), (up + n + 1 - down) / 2 / n)
 
 
 def zscore(x: Column | str, bound: float | None = 4.0, by: str | list[str] = "date") -> Column:
@@ -98,26 +100,6 @@ def residual(y: Column | str, x: Column | str, least: int = 10, strength: float
     return F.when((F.count(F.when(both, 1)).over(group) >= least) & slope.isNotNull() & both, fitted).otherwise(col(y))
 
 
-def ewm(x: Column | str, alpha: float, reach: int, adjust: bool = True) -> Column:
-    """Exponentially weighted mean of the ticker's last ``reach`` non-null values, newest last.
-
-    The frame bounds the work per row; with reach = 40 / alpha the weight beyond it is under 1e-17. Unadjusted,
-    the oldest value of the history has the weight (1 - alpha) ** age, as in a recursion that starts there.
-    """
-    frame = F.collect_list(col(x)).over(by_ticker().rowsBetween(1 - reach, 0))
-    keep = 1 - alpha
-    sums = F.aggregate(
-        frame,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")),
-        lambda a, v: F.struct((a["s"] * keep + v).alias("s"), (a["w"] * keep + 1).alias("w")),
-        lambda a: F.try_divide(a["s"], a["w"]),
-    )
-    if adjust:
-        return F.when(col(x).isNotNull(), sums)
-    start = F.aggregate(F.slice(frame, 2, reach), F.get(frame, 0), lambda a, v: a * keep + v * alpha)
-    return F.when(col(x).isNotNull(), start)
-
-
 def _polynomial(x: Column, *factors: float) -> Column:
     """Horner's form, the highest power's factor first."""
     out = F.lit(factors[0])

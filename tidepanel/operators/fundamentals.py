@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import TRADING_DAYS, by_date, by_ticker, clip, div, ewm, lag, mean, rank_pct, std
+from tidepanel.functions.columns import TRADING_DAYS, by_date, by_ticker, clip, div, lag, mean, rank_pct, std
+from tidepanel.functions.linear_time import with_ewm
 
 
 def zero(c: str) -> Column:
@@ -90,8 +91,8 @@ def distress(panel: DataFrame, year: int = 12, quarter: int = 3, least: int = 3,
     b = with_market_value(panel)
     b = b.withColumns({"_mta": F.col("me") + F.col("liabilities"), "_mkt": F.coalesce(F.avg("ret").over(by_date()), F.lit(0.0)), "_all": F.sum("me").over(by_date())})
     b = b.withColumns({"_ni": div("net_income", "_mta"), "_ex": F.col("ret") - F.col("_mkt")})
-    alpha = 1 - 0.5 ** (1 / quarter)
-    excess = F.when(F.count("_ex").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) >= quarter, ewm("_ex", alpha, 400))
+    b = with_ewm(b, {"_smooth": ("_ex", 1 - 0.5 ** (1 / quarter), True)})
+    excess = F.when(F.count("_ex").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) >= quarter, F.col("_smooth"))
     # fixed values of the score
     score = (
         F.lit(-9.164) - 20.264 * mean("_ni", year, least) + 1.416 * div("liabilities", "_mta") - 7.129 * excess + 1.411 * std("ret", quarter, 2) * F.sqrt(F.lit(float(periods)))

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import by_ticker, change, clip, div, lag, mean, momentum, rank_pct, rolling, std
+from tidepanel.functions.columns import by_ticker, change, clip, div, lag, mean, momentum, rank_pct, std
+from tidepanel.functions.linear_time import with_rolling_sums
 
 
 def on_calendar(bars: DataFrame, series: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -32,9 +33,14 @@ def spread_on(bars: DataFrame, calendar: DataFrame, columns: Iterable[str]) -> D
 
 def beta(panel: DataFrame, x: str, window: int = 756, least: int = 252) -> DataFrame:
     """Mean product less the product of means of the returns and ``x`` over the variance of ``x``, on the ticker's own rows."""
-    both = panel.withColumn("_xy", F.col("ret") * F.col(x))
-    cov = mean("_xy", window, least) - mean("ret", window, least) * mean(x, window, least)
-    return both.withColumn("beta", div(cov, rolling(F.var_samp, x, window, least))).drop("_xy")
+    r, x = F.col("ret"), F.col(x)
+    sums = {"_r": r, "_x": x, "_xy": r * x, "_xx": x * x}
+    b = with_rolling_sums(panel, sums | {f"_n{n}": v.isNotNull().cast("int") for n, v in sums.items()}, window)
+    average = {n: F.when(F.col(f"_n{n}") >= least, F.col(n) / F.col(f"_n{n}")) for n in sums}
+    count = F.col("_n_x")
+    variance = F.when(count > 1, (F.col("_xx") - F.col("_x") * F.col("_x") / count) / (count - 1))
+    out = div(average["_xy"] - average["_r"] * average["_x"], F.when((count >= least) & (variance > 0), variance))
+    return b.select(*panel.columns, out.alias("beta"))
 
 
 def ranked(panel: DataFrame, x: Column) -> DataFrame:

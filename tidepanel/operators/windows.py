@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import by_date, by_ticker, TRADING_DAYS, change, clip, div, ewm, lag, mean, momentum, rank_pct, rolling, std, total, zscore
+from tidepanel.functions.columns import by_date, by_ticker, TRADING_DAYS, change, clip, div, lag, mean, momentum, rank_pct, rolling, std, total, zscore
+from tidepanel.functions.linear_time import with_ewm, with_quantiles
 
 YEAR = math.sqrt(TRADING_DAYS)
 
@@ -51,22 +52,19 @@ def rolling_rank(bars: DataFrame, column: str = "close", lookback: int = 252, le
 def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
     b = bars.withColumn("_d", F.col("close") - lag("close"))
     b = b.withColumn("_gain", F.greatest(F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0))).withColumn("_loss", F.greatest(-F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0)))
-    b = b.withColumn("_g", ewm("_gain", 1 / window, 40 * window, adjust=False)).withColumn("_l", ewm("_loss", 1 / window, 40 * window, adjust=False))
+    b = with_ewm(b, {"_g": ("_gain", 1 / window, False), "_l": ("_loss", 1 / window, False)})
     seen = F.count("_d").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) >= window
     return _value(b, F.when(seen, 50 - (100 - 100 / (1 + div("_g", "_l"))))).drop("_d", "_gain", "_loss", "_g", "_l")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, span: int = 9) -> DataFrame:
-    def ema(x: str, n: int) -> Column:
-        return ewm(x, 2 / (n + 1), 20 * (n + 1), adjust=False)
-
-    b = bars.withColumn("_macd", ema("close", fast) - ema("close", slow))
-    return _value(b.withColumn("_line", ema("_macd", span)), F.col("_macd") - F.col("_line")).drop("_macd", "_line")
+    b = with_ewm(bars, {"_fast": ("close", 2 / (fast + 1), False), "_slow": ("close", 2 / (slow + 1), False)}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    return _value(with_ewm(b, {"_line": ("_macd", 2 / (span + 1), False)}), F.col("_macd") - F.col("_line")).drop("_fast", "_slow", "_macd", "_line")
 
 
 def ema_smooth(bars: DataFrame, column: str = "ret", halflife: float = 5.0) -> DataFrame:
     alpha = 1 - 0.5 ** (1 / halflife)
-    return _value(bars, ewm(column, alpha, math.ceil(40 / alpha)))
+    return with_ewm(bars, {"value": (column, alpha, True)})
 
 
 def fill_forward(bars: DataFrame, column: str = "close", limit: int = 180) -> DataFrame:
@@ -203,7 +201,7 @@ def down_up_ratio(bars: DataFrame, window: int = 63) -> DataFrame:
 def tail_dependence(bars: DataFrame, window: int = 126, q: float = 0.1) -> DataFrame:
     """Days on which ticker and market are both in their lower tails, against the number expected of full dependence."""
     b = _market(bars)
-    b = b.withColumn("_i", rolling(lambda x: F.percentile(x, q), "ret", window)).withColumn("_m", rolling(lambda x: F.percentile(x, q), "mkt", window))
+    b = with_quantiles(b, {"_i": ("ret", window, q, window // 2), "_m": ("mkt", window, q, window // 2)})
     joint = F.when((F.col("ret") <= F.col("_i")) & (F.col("mkt") <= F.col("_m")), 1.0).otherwise(0.0)
     return _value(b.withColumn("_j", joint), total("_j", window) / (q * window)).drop("_i", "_m", "_j")
 

@@ -63,3 +63,35 @@ def tone(filings: DataFrame, dictionary: DataFrame, least_words: int = 100) -> D
     out = per.join(total, ["ticker", "seq"])
     out = out.select("ticker", "seq", "n_words", *[F.when(F.col("n_words") >= least_words, F.col(f"_{c}") / F.col("n_words")).alias(c) for c in names])
     return out.withColumn("net", F.col("positive") - F.col("negative"))
+
+
+#: A header of a section, its number and letter in the first group.
+ITEM_HEADER = r"(?i)\bitem\s+(\d+[a-z]?)\b[.:\s]"
+
+
+def item_order(item: Column) -> Column:
+    """Number and letter of an item, in their order; 999 if it is none."""
+    return F.struct(F.coalesce(F.regexp_extract(item, r"^(\d+)", 1).try_cast("int"), F.lit(999)).alias("number"), F.regexp_extract(item, r"^\d+([A-Z]?)", 1).alias("letter"))
+
+
+def extract_items(filings: DataFrame, wanted: list[str], text: str = "text", header: str = ITEM_HEADER) -> DataFrame:
+    """``filings`` with a column ``item_x`` per wanted item: its section of a plain text, from its last header up to the next header of a higher item.
+
+    Contents lists come before the sections they name, so the last header counts. A header of a lower item in between
+    is part of the section. Sections are trimmed at both ends and never cut; an item without a header, and a null or
+    empty text, gives the empty text. The header's own letters may be in either case. The text is cut at its headers
+    once, and sections are put together again from the pieces.
+    """
+    mark = "\u0001"
+    pieces = F.split(F.regexp_replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(mark), F.lit(" ")), header, mark + "$0"), mark)
+    b = filings.withColumn("_pieces", pieces)
+    b = b.withColumn("_items", F.transform("_pieces", lambda p, k: F.when(k > 0, F.upper(F.regexp_extract(p, header, 1))).otherwise("")))
+    for x in wanted:
+        here = F.lit(x.upper())
+        at = F.array_max(F.transform("_items", lambda i, k: F.when(i == here, k)))  # noqa: B023
+        b = b.withColumn("_at", at)
+        stop = F.array_min(F.transform("_items", lambda i, k: F.when((k > F.col("_at")) & (item_order(i) > item_order(here)), k)))  # noqa: B023
+        b = b.withColumn("_stop", F.coalesce(stop, F.size("_pieces")))
+        section = F.trim(F.array_join(F.slice("_pieces", F.col("_at") + 1, F.col("_stop") - F.col("_at")), ""))
+        b = b.withColumn(f"item_{x.lower()}", F.when(F.col("_at").isNull(), "").otherwise(section))
+    return b.drop("_pieces", "_items", "_at", "_stop")

@@ -93,7 +93,7 @@ def test_frames(spark, v):
     assert back == sorted((i or 0, t or "") for i, t in rows)
     odd = spark.createDataFrame([(1, [None, -1, 10**6, 15496]), (2, None)], "id long, ids array<int>")
     assert {r["id"]: r["text"] for r in B.decoded(odd, v).collect()} == {1: "Hello", 2: ""}
-    assert {r["id"]: r["n_tokens"] for r in B.digests(B.decoded(odd.filter("id = 2"), v)).collect()} == {2: 0}
+    assert {r["id"]: r["n_tokens"] for r in B.digests(odd, v).collect()} == {1: 3, 2: 0}
     assert B.encoded(docs.limit(0), v).collect() == []
 
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -74,7 +75,7 @@ def brute():
 
 @pytest.fixture(scope="module")
 def models():
-    return bpe_codec.load(), sentencepiece_codec.load()
+    return A.load()
 
 
 def test_groups_equal_common_ends():
@@ -86,11 +87,12 @@ def test_groups_equal_common_ends():
             ends = [[*range(1, 200), *(199 + e for e in x)] for x in ends]
         sizes = [[y - x for x, y in zip([0, *e], e, strict=False)] for e in ends]
         ids = [list(range(len(e))) for e in ends]
-        got = []
-        for i, p, j, q, single in A.groups(*ends):
-            got += [([x], [y]) for x, y in zip(range(i, p), range(j, q), strict=True)] if single else [(list(range(i, p)), list(range(j, q)))]
+        got, i, j = [], 0, 0
+        for a, p, b, q in [*A.irregular_groups(*map(np.array, ends)), (len(ends[0]), 0, len(ends[1]), 0)]:
+            got += [([x], [y]) for x, y in zip(range(i, a), range(j, b), strict=True)] + ([(list(range(a, p)), list(range(b, q)))] if p else [])
+            i, j = p, q
         assert got == by_sets(ids[0], sizes[0], ids[1], sizes[1])
-    assert list(A.groups([], [])) == []
+    assert A.irregular_groups(np.zeros(0, int), np.zeros(0, int)) == []
 
 
 def samples():
@@ -105,15 +107,15 @@ def test_rows_equal_brute_force(spark, brute, models, monkeypatch, most, group):
     monkeypatch.setattr(A, "GROUP_PAIRS", group)
     all_texts = samples()
     docs = spark.createDataFrame([(k if k % 7 else None, t, "r", "p") for k, t in enumerate(all_texts)], "doc_id long, text string, row string, pairs string").repartition(3)
-    got = sorted(((r["id"] if r["id"] is not None else -1), *list(r)[1:]) for r in A.linked(docs, *models, most=most).collect())
+    got = sorted(((r["id"] if r["id"] is not None else -1), *list(r)[1:]) for r in A.linked(docs, models, most=most).collect())
     want = sorted((k if k % 7 else -1, *r) for k, r in enumerate(brute.rows(all_texts)))
     assert got == want
 
 
 def test_empty_table_and_tables_without_tokens(spark, models):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "▁")], "doc_id long, text string")
-    assert [tuple(r) for r in A.linked(docs, *models).orderBy("id").collect()] == [(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2, 2, 3)]
-    assert A.linked(docs.limit(0), *models).collect() == []
+    assert [tuple(r) for r in A.linked(docs, models).orderBy("id").collect()] == [(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2, 2, 3)]
+    assert A.linked(docs.limit(0), models).collect() == []
 
 
 def test_query_equals_brute_force(spark, brute):

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,99 +22,126 @@ COMMON_PAIRS = 1 << 19
 DOC_SCHEMA = "id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<int>, times array<int>"
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
-    """``(a, a_end, b, b_end, single)``: the tokens between two byte offsets at which both have an end.
+def irregular_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """``(a, a_end, b, b_end)``: the tokens between two byte offsets at which both have an end, where they are not one of each; all others are, in order.
 
-    With ``single`` it is a whole stretch of groups of one token each. Such a stretch is probed at the present shift
-    between both index positions: slices of doubling length are compared, then halved, until the first difference. The
-    group there is resolved by stepping on whichever side is behind, and the shift follows from where it ends. Both
-    lists must rise to the same last end. A token without bytes belongs to the group that is open where it stands.
+    At the present shift between both index positions the end arrays are compared in slices of doubling length, then
+    of halved length, up to the first difference, so a stretch of one-to-one groups is jumped over. The group
+    there is resolved by stepping on whichever side is behind, and the shift follows from where it ends. Both arrays
+    must rise to the same last end; a token without bytes belongs to the group that is open where it stands.
     """
-    i = j = 0
-    while i < len(ends_a) or j < len(ends_b):
-        width, done = 1, 0
-        while (part := ends_a[i + done : i + done + width]) == ends_b[j + done : j + done + width] and len(part) == width:
-            done += width
-            width *= 2
-        while width > 1:
-            width //= 2
-            if (part := ends_a[i + done : i + done + width]) == ends_b[j + done : j + done + width] and len(part) == width:
-                done += width
-        if done:
-            yield i, i + done, j, j + done, True
-            i, j = i + done, j + done
-        if i == len(ends_a) and j == len(ends_b):
-            return
-        p, q = i, j
-        end_a, end_b = ends_a[p], ends_b[q]
+    raw_a, raw_b = ends_a.astype("<i4").tobytes(), ends_b.astype("<i4").tobytes()
+    list_a, list_b = ends_a.tolist(), ends_b.tolist()
+    n_a, n_b = len(raw_a), len(raw_b)
+    out = []
+    i = j = 0  # byte positions in the raw arrays
+    while True:
+        width = 4
+        while i + width <= n_a and raw_a[i : i + width] == raw_b[j : j + width]:
+            i, j, width = i + width, j + width, 2 * width
+        while width > 4:
+            width >>= 1
+            if i + width <= n_a and raw_a[i : i + width] == raw_b[j : j + width]:
+                i, j = i + width, j + width
+        if i >= n_a and j >= n_b:
+            return out
+        a, b = p, q = i >> 2, j >> 2
+        end_a, end_b = list_a[p], list_b[q]
         while end_a != end_b:
             if end_a < end_b:
                 p += 1
-                end_a = ends_a[p]
+                end_a = list_a[p]
             else:
                 q += 1
-                end_b = ends_b[q]
-        yield i, p + 1, j, q + 1, False
-        i, j = p + 1, q + 1
+                end_b = list_b[q]
+        out.append((a, p + 1, b, q + 1))
+        i, j = (p + 1) << 2, (q + 1) << 2
+
+
+@dataclass
+class Models:
+    """What a task needs of both models: the first one's tables, the second one's file and every id's bytes."""
+
+    a: bpe_codec.Vocabulary
+    b_model: bytes
+    b_surface: list[bytes]
+
+
+def load(a_path: str = bpe_codec.MODEL_PATH, b_path: str = sentencepiece_codec.MODEL_PATH) -> Models:
+    """Read both model files on the driver; tasks get them by broadcast."""
+    with open(b_path, "rb") as f:
+        model = f.read()
+    return Models(bpe_codec.load(a_path), model, sentencepiece_codec.load(b_path).surface)
+
+
+def _spread(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
 class Aligner:
-    """Both models' tables, and the numbers of ids as text."""
+    """Encodes texts by both models and aligns them."""
 
-    def __init__(self, a: bpe_codec.Vocabulary, b: sentencepiece_codec.Vocabulary):
-        if len(a.surface) > 1 << 31 - SHIFT or len(b.surface) > 1 << SHIFT:
+    def __init__(self, models: Models):
+        import sentencepiece
+
+        if len(models.a.surface) > 1 << 31 - SHIFT or len(models.b_surface) > 1 << SHIFT:
             raise ValueError("an id pair of these models doesn't fit into 31 bits")
-        self.a, self.b = a, b
-        self.size_a, self.size_b = [len(s) for s in a.surface], [len(s) for s in b.surface]
-        self.name_a, self.name_b = [f"{k}|" for k in range(len(a.surface))], [str(k) for k in range(len(b.surface))]
-
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of a space and the text under both models; none if either does not give these bytes back."""
-        ids_a = np.frombuffer(bpe_codec.encode(" " + text, self.a, special=False), np.int32).tolist()
-        ids_b = np.frombuffer(sentencepiece_codec.encode(text, self.b), np.int32).tolist()
-        body = b" " + text.encode()
-        if not text or b"".join(map(self.a.surface.__getitem__, ids_a)) != body or b"".join(map(self.b.surface.__getitem__, ids_b)) != body:
-            return [], []
-        return ids_a, ids_b
-
-    def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, str, np.ndarray, np.ndarray]:
+        self.a, self.b = bpe_codec.held(models.a), sentencepiece.SentencePieceProcessor(model_proto=models.b_model)
+        self.bytes_a, self.bytes_b = self.a.surface, models.b_surface
+        self.size_a, self.size_b = (np.array([len(s) for s in x], np.int32) for x in (self.bytes_a, self.bytes_b))
+        # the number of each id with what follows it: inside a group's first ids, at their end, inside the second, at the group's end
+        self.names = [f"{k}{after}" for size, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for k in range(size) for after in ends]
+
+    def tokens(self, all_texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a space and each text under both models; none if either does not give these bytes back."""
+        spaced = [" " + t for t in all_texts]
+        out = []
+        none = np.zeros(0, np.int32)
+        for text, raw, ids_b in zip(spaced, bpe_codec.encode_all(spaced, self.a, special=False), self.b.encode(all_texts, num_threads=1), strict=True):
+            ids_a, body = np.frombuffer(raw, np.int32), text.encode()
+            same = len(text) > 1 and b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == body == b"".join(map(self.bytes_b.__getitem__, ids_b))
+            out.append((ids_a, np.array(ids_b, np.int32)) if same else (none, none))
+        return out
+
+    def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[int, int, str, np.ndarray, np.ndarray]:
         """Number of groups and of links, the groups as text, distinct id pairs and how often each is linked."""
-        ends_a, ends_b = list(accumulate(map(self.size_a.__getitem__, ids_a))), list(accumulate(map(self.size_b.__getitem__, ids_b)))
-        name_a, name_b = self.name_a, self.name_b
-        n_groups = 0
-        named: list[str] = []
-        single: list[int] = []
-        rest: list[int] = []
-        large: Counter[int] = Counter()
-        for i, p, j, q, one in groups(ends_a, ends_b):
-            a, b = ids_a[i:p], ids_b[j:q]
-            if one:
-                n_groups += p - i
-                named += map(str.__add__, map(name_a.__getitem__, a), map(name_b.__getitem__, b))
-                single += a
-                rest += b
-                continue
-            n_groups += 1
-            named.append(",".join(map(str, a)) + "|" + ",".join(map(name_b.__getitem__, b)))
-            if len(a) * len(b) <= GROUP_PAIRS:
-                for x in a:
-                    single += [x] * len(b)
-                    rest += b
-            else:
-                of_b = Counter(b)
-                for x, m in Counter(a).items():
-                    for y, n in of_b.items():
-                        large[x << SHIFT | y] += m * n
-        keys = np.array(single, np.int64) << SHIFT | np.array(rest, np.int64)
-        pairs, times = np.unique(keys, return_counts=True)
-        if large:
-            for key, n in zip(pairs.tolist(), times.tolist(), strict=True):
-                large[key] += n
-            pairs, times = np.array(list(large), np.int64), np.array(list(large.values()), np.int64)
-        return n_groups, int(times.sum()), ";".join(named), pairs, times
-
-
-def aligned(docs: DataFrame, a: bpe_codec.Vocabulary, b: sentencepiece_codec.Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if not len(ids_a):
+            return 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        odd = np.array(irregular_groups(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])), np.int64).reshape(-1, 4)
+        n_a, n_b = odd[:, 1] - odd[:, 0], odd[:, 3] - odd[:, 2]
+        at_a, at_b = np.repeat(odd[:, 0], n_a) + _spread(n_a), np.repeat(odd[:, 2], n_b) + _spread(n_b)
+        alone_a, alone_b = np.ones(len(ids_a), bool), np.ones(len(ids_b), bool)
+        alone_a[at_a], alone_b[at_b] = False, False
+        # the last token of each group, and with it every token's group
+        last_a, last_b = alone_a.copy(), alone_b.copy()
+        last_a[odd[:, 1] - 1], last_b[odd[:, 3] - 1] = True, True
+        ends_a, ends_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        names = np.empty(len(ids_a) + len(ids_b), np.int64)
+        names[np.arange(len(ids_a)) + np.concatenate([[0], ends_b])[group_a]] = 2 * ids_a.astype(np.int64) + last_a
+        names[np.arange(len(ids_b)) + ends_a[group_b]] = 2 * (len(self.bytes_a) + ids_b.astype(np.int64)) + last_b
+        text = "".join(map(self.names.__getitem__, names.tolist()))[:-1]
+
+        wide_a, wide_b = ids_a.astype(np.int64) << SHIFT, ids_b.astype(np.int64)
+        small = n_a * n_b <= GROUP_PAIRS
+        m_a, m_b = n_a[small], n_b[small]
+        per_a = np.repeat(m_b, m_a)  # links of each first token of a small group
+        first = np.repeat(np.repeat(odd[small, 0], m_a) + _spread(m_a), per_a)
+        second = np.repeat(np.repeat(odd[small, 2], m_a), per_a) + _spread(per_a)
+        pairs, times = np.unique(np.concatenate([wide_a[alone_a] | wide_b[alone_b], wide_a[first] | wide_b[second]]), return_counts=True)
+        for a, p, b, q in odd[~small].tolist():  # distinct ids of either side, every pair of them
+            x, m = np.unique(wide_a[a:p], return_counts=True)
+            y, n = np.unique(wide_b[b:q], return_counts=True)
+            pairs, times = np.concatenate([pairs, (x[:, None] | y[None, :]).ravel()]), np.concatenate([times, (m[:, None] * n[None, :]).ravel()])
+        if not small.all():
+            pairs, inverse = np.unique(pairs, return_inverse=True)
+            times = np.bincount(inverse, times, len(pairs)).astype(np.int64)
+        return len(ends_a), int(times.sum()), text, pairs, times
+
+
+def aligned(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_a, n_b, n_groups, n_links, groups, pairs, times)`` of every row.
 
     ``groups`` lists the ids between common ends, ``a1,a2|b1;a3|b2``. ``pairs`` holds each id pair that a group of the
@@ -125,18 +150,16 @@ def aligned(docs: DataFrame, a: bpe_codec.Vocabulary, b: sentencepiece_codec.Voc
     Texts that are null or empty, or that one of the models does not give back byte for byte, have no tokens. Null ids
     and repeated rows give a row each; other columns are not read; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((a, b))  # the model files' size bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # the model files' size bounds it
     made: dict[int, Aligner] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
-            x, y = shared.value
-            made[0] = Aligner(bpe_codec.held(x), sentencepiece_codec._held(y))
+            made[0] = Aligner(shared.value)
         both = made[0]
         for batch in slices(batches, 64):
             counts, named, pairs, times = [], [], [], []
-            for text in texts(batch.column(1)):
-                ids_a, ids_b = both.tokens(text)
+            for ids_a, ids_b in both.tokens(texts(batch.column(1))):
                 n_groups, n_links, text_groups, keys, n = both.align(ids_a, ids_b)
                 counts.append((len(ids_a), len(ids_b), n_groups, n_links))
                 named.append(text_groups)
@@ -185,13 +208,13 @@ def link_counts(links: DataFrame, counts: DataFrame, most: int = COMMON_PAIRS) -
     return parts.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
-def linked(docs: DataFrame, a: bpe_codec.Vocabulary, b: sentencepiece_codec.Vocabulary, id_col: str = "doc_id", text_col: str = "text", most: int = COMMON_PAIRS) -> DataFrame:
+def linked(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", most: int = COMMON_PAIRS) -> DataFrame:
     """``(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` of every row, as ``aligned`` and ``link_counts`` say.
 
     A row counts as a document of its own, with or without an id. Rows without tokens have zeros and no digest. Each
     row's id pairs are written once, and the counts of all pairs once; both are read from there.
     """
-    rows = aligned(docs, a, b, id_col, text_col)
+    rows = aligned(docs, models, id_col, text_col)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     links = materialise(rows.select("id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times").withColumn("row", F.monotonically_increasing_id()), "links")
     counts = materialise(pair_counts(links), "pair_counts")

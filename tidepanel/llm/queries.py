@@ -78,13 +78,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.linked(_table(spark, sf_dir, "documents"), bpe_codec.load(), sentencepiece_codec.load()).withColumnRenamed("id", "doc_id")
+    return alignment.linked(_table(spark, sf_dir, "documents"), alignment.load()).withColumnRenamed("id", "doc_id")
 
 
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe_codec.load()
-    back = bpe_codec.decoded(bpe_codec.encoded(_table(spark, sf_dir, "documents"), model), model)
-    return bpe_codec.digests(back).withColumnRenamed("id", "doc_id")
+    out = bpe_codec.encoded(_table(spark, sf_dir, "documents"), model)
+    return bpe_codec.digests(out, model).withColumnRenamed("id", "doc_id")
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

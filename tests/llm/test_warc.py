@@ -96,3 +96,53 @@ def test_small_files_are_read_by_several_tasks(spark, tmp_path):
 def test_empty(spark, tmp_path):
     W.write_warc(W.page_records(spark.createDataFrame([], PAGES)), str(tmp_path / "e"))
     assert W.read_warc(spark, str(tmp_path / "e")).collect() == []
+
+
+def some_records(n=4):
+    base = {"record_type": "response", "target_uri": "u", "record_date": None, "payload_digest": None, "payload_bytes": None, "refers_to": None}
+    return [{**base, "record_id": f"r{k}", "payload": bytes([65 + k]) * (70_000 * k + 3)} for k in range(n)]
+
+
+def read(data, payloads=True, keep=lambda r: True):
+    return [(r["record_id"], r["record_type"], hashlib.sha1(r.get("payload") or b"").hexdigest()) for r in W.records(io.BufferedReader(io.BytesIO(data)), keep, payloads)]
+
+
+def test_archives_of_all_common_forms():
+    rows = some_records()
+    plain = [W.record(r) for r in rows]
+    want = [(r["record_id"], "response", hashlib.sha1(r["payload"]).hexdigest()) for r in rows]
+    checked = bytearray(gzip.compress(plain[1]))
+    checked[3] |= 2  # a header checksum
+    checked[10:10] = b"\x12\x34"
+    forms = {
+        "plain": b"".join(plain),
+        "one member each": b"".join(map(gzip.compress, plain)),
+        "sl members": b"".join(map(W.member, plain)),
+        "two in a member": gzip.compress(plain[0] + plain[1]) + gzip.compress(plain[2] + plain[3]),
+        "two in an sl member": W.member(plain[0] + plain[1]) + W.member(plain[2] + plain[3]),
+        "all in one member": gzip.compress(b"".join(plain)),
+        "header checksum": gzip.compress(plain[0]) + bytes(checked) + gzip.compress(plain[2]) + W.member(plain[3]),
+        "padding": b"".join(map(gzip.compress, plain)) + b"\0" * 200_000,
+        "blank lines": b"\r\n\n".join([b"", *plain, b""]),
+        "blank lines in a member": gzip.compress(b"\r\n\r\n".join([b"", *plain])),
+        "mixed": plain[0] + gzip.compress(plain[1] + plain[2]) + b"\n" + plain[3],
+    }
+    for name, data in forms.items():
+        assert read(data) == want, name
+        assert [r[0] for r in read(data, payloads=False)] == [w[0] for w in want], name
+        assert [r[0] for r in read(data, keep=lambda r: r["record_id"] in ("r0", "r3"))] == ["r0", "r3"], name
+
+
+def test_a_cut_record_ends_its_file_and_is_told():
+    rows = some_records(3)
+    plain = [W.record(r) for r in rows]
+    whole = [(r["record_id"], "response", hashlib.sha1(r["payload"]).hexdigest()) for r in rows[:2]]
+    for pack in (bytes, gzip.compress, W.member):
+        first, last = pack(plain[0]) + pack(plain[1]), pack(plain[2])
+        for size in (len(last) - 30, len(last) // 2):
+            assert read(first + last[:size]) == [*whole, ("r2", "cut", hashlib.sha1(b"").hexdigest())], pack
+            assert read(first + last[:size], keep=lambda r: r["record_type"] == "response") == whole
+        assert read(first + last[:12])[:2] == whole and len(read(first + last[:12])) <= 3
+    together = gzip.compress(b"".join(plain))
+    assert read(together[: len(together) - 20])[:2] == whole
+    assert read(b"") == read(b"\0\0\0") == read(b"\x1f") == []

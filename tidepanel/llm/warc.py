@@ -93,6 +93,8 @@ def parse_header(head: bytes, http: bytes) -> dict:
     }
 
 
+#: The type of a record that its file's end cuts off.
+CUT = "cut"
 TESTS = {
     EqualTo: lambda f, x: x is not None and x == f.value,
     EqualNullSafe: lambda f, x: x == f.value,
@@ -106,23 +108,79 @@ TESTS = {
 FILTERED = {"record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to"}
 
 
-def _heads(parts: Iterator[bytes]) -> tuple[bytes, bytes, bytes]:
-    """The WARC header, the HTTP header if the record's block has one, and what was read beyond, from as few parts as hold them."""
-    held, end = b"", -1
-    for part in parts:
-        held += part
-        if (end := held.find(b"\r\n\r\n")) >= 0:
-            break
-    first = end + 4 if end >= 0 else len(held)
-    kind = _fields(held[:first]).get("content-type", "").lower()
-    while not kind and len(held) < first + 5 and (part := next(parts, b"")):
-        held += part
-    if not (kind.startswith("application/http") or not kind and held[first : first + 5] == b"HTTP/"):
-        return held[:first], b"", held[first:]
-    while (end := held.find(b"\r\n\r\n", first)) < 0 and (part := next(parts, b"")):
-        held += part
-    second = end + 4 if end >= 0 else len(held)
-    return held[:first], held[first:second], held[second:]
+class Stream:
+    """Bytes that come in parts: what is held of them is no more than was asked for and the rest of one part."""
+
+    def __init__(self, parts: Iterator[bytes]) -> None:
+        self.parts, self.held = parts, bytearray()
+
+    def fill(self) -> bool:
+        part = next(self.parts, b"")
+        self.held += part
+        return bool(part)
+
+    def pass_over(self, chars: bytes = b"\r\n\0") -> None:
+        """Take away line ends and padding, as far as they go."""
+        while True:
+            left = self.held.lstrip(chars)
+            taken, self.held = len(self.held), left
+            if left or not (taken and self.fill() or self.fill()):
+                return
+
+    def find(self, mark: bytes, most: int | None = None) -> int:
+        """Where a mark ends, within the next ``most`` bytes if given; -1 if there is none."""
+        while (at := self.held.find(mark, 0, most)) < 0:
+            if most is not None and len(self.held) >= most or not self.fill():
+                return -1
+        return at + len(mark)
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.fill():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def skip(self, n: int) -> int:
+        """Take n bytes away without holding them; how many were missing."""
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.fill():
+                return n
+        del self.held[:n]
+        return 0
+
+
+def _one(s: Stream, keep, payloads: bool) -> tuple[dict | None, bool, int, int, int]:
+    """The record that a stream stands at: its row if it is kept, whether it is cut off, its block's size, the bytes of its own header, and the bytes of its block not read yet.
+
+    A payload is taken if the row is kept and payloads are wanted, else it is left to the caller to skip.
+    """
+    end = s.find(b"\r\n\r\n")
+    whole = end >= 0
+    head = s.take(end) if whole else s.take(len(s.held))
+    fields = _fields(head)
+    size = _number(fields.get("content-length")) if whole else 0
+    kind, http = fields.get("content-type", "").lower(), b""
+    while not kind and len(s.held) < min(5, size) and s.fill():
+        pass
+    if size and (kind.startswith("application/http") or not kind and s.held[:5] == b"HTTP/"):
+        at = s.find(b"\r\n\r\n", size)
+        http = s.take(at if at >= 0 else size)
+        whole = whole and (at >= 0 or len(http) == size)
+    row, rest = parse_header(head, http), size - len(http)
+    if not whole:
+        row["record_type"] = CUT
+    wanted = keep(row)
+    if wanted and payloads:
+        body = s.take(rest) if whole else b""
+        if len(body) < rest:
+            whole, row["record_type"] = False, CUT
+            wanted = keep(row)
+        rest = 0
+        row["payload"] = None if row["record_type"] in ("revisit", CUT) else body
+    return (row if wanted else None), not whole, size, len(head), rest
 
 
 class Member:
@@ -130,75 +188,103 @@ class Member:
 
     def __init__(self, f: io.BufferedReader) -> None:
         self.f, start = f, f.tell()
-        self.after = None
-        flags = f.read(10)[3]
+        self.after = self.inflated = None
+        self.cut = False
+        head = f.read(10)
+        flags = head[3] if len(head) == 10 else 0
+        self.cut = len(head) < 10
         if flags & 4:
-            (size,) = struct.unpack("<H", f.read(2))
+            (size,) = struct.unpack("<H", f.read(2).ljust(2, b"\0"))
             extra, at = f.read(size), 0
-            while at + 4 <= size:
+            while at + 4 <= len(extra):
                 (n,) = struct.unpack_from("<H", extra, at + 2)
-                if extra[at : at + 2] == b"sl" and n == 8:
-                    self.after = start + struct.unpack_from("<I", extra, at + 4)[0]
+                if extra[at : at + 2] == b"sl" and n == 8 and at + 12 <= len(extra):
+                    packed, self.inflated = struct.unpack_from("<II", extra, at + 4)
+                    self.after = start + packed
                 at += 4 + n
         for _ in range(bool(flags & 8) + bool(flags & 16)):  # a file name, a comment
             while f.read(1) not in (b"\0", b""):
                 pass
+        if flags & 2:  # a checksum of this header
+            f.read(2)
         self.body = f.tell()
 
     def parts(self) -> Iterator[bytes]:
-        """The content, inflated piece by piece as far as it is asked for."""
+        """The content, inflated piece by piece as far as it is asked for; ``cut`` tells that the file ends before it does."""
         inflate, taken = zlib.decompressobj(-15), 0
-        while not inflate.eof:
+        while not inflate.eof and not self.cut:
             raw = inflate.unconsumed_tail
             if not raw:
                 raw = self.f.read(HEAD_BYTES)
                 taken += len(raw)
                 if not raw:
-                    raise ValueError(f"the member at byte {self.body} is cut off")
-            yield inflate.decompress(raw, HEAD_BYTES)
+                    self.cut = True
+                    return
+            if out := inflate.decompress(raw, HEAD_BYTES):
+                yield out
         if self.after is None:
             self.after = self.body + taken - len(inflate.unused_data) + 8
 
 
+def _members_records(member: Member, keep, payloads: bool) -> Iterator[dict]:
+    """All records of a member; where ``sl`` says that it holds the first one alone, it is not inflated further than is asked for."""
+    s = Stream(member.parts())
+    while True:
+        s.pass_over()
+        if not s.held:
+            return
+        if s.held[:5] != b"WARC/"[: len(s.held)]:
+            raise ValueError(f"no WARC record in the member before byte {member.body}")
+        row, cut, size, head, rest = _one(s, keep, payloads)
+        alone = member.inflated is not None and head + size + 4 >= member.inflated
+        if not cut and not alone:
+            if s.skip(rest):  # cut off in a payload that nobody asked for
+                cut = True
+                if row is not None:
+                    row["record_type"] = CUT
+                    row = row if keep(row) else None
+        if row is not None:
+            yield row
+        if cut or alone:
+            return
+
+
 def records(f: io.BufferedReader, keep, payloads: bool) -> Iterator[dict]:
-    """A file's records that ``keep`` accepts by their header; other payloads are skipped, not decoded."""
+    """A file's records that ``keep`` accepts by their header; other payloads are skipped, not decoded.
+
+    Members of a gzip file may hold any number of records, one of each or all of the file. Line ends and zero bytes
+    between records and after the last one are passed over. Where the file ends inside a record, that one has the type
+    ``cut``, what its header tells and no payload, and ends the file; in a payload that is skipped this is not looked for
+    if the next record's place is known without reading it.
+    """
     at = 0
     while True:
         f.seek(at)
         magic = f.peek(5)[:5]
         if not magic:
             return
-        if magic[:2] == b"\x1f\x8b":
-            member_at = Member(f)
-            parts = member_at.parts()
-            head, http, rest = _heads(parts)
-            row = parse_header(head, http)
-            wanted = keep(row)
-            body = b""
-            if wanted and payloads:
-                body = b"".join([rest, *parts])[: _number(_fields(head).get("content-length")) - len(http)]
-            elif member_at.after is None:
-                for _ in parts:  # only its end tells where the next one starts
-                    pass
-            at = member_at.after
-        elif magic == b"WARC/":
-            head, http, rest = _heads(iter(lambda: f.read(HEAD_BYTES), b""))
-            size = _number(_fields(head).get("content-length"))
-            if len(http) > size:
-                http = http[:size]
-            row = parse_header(head, http)
-            wanted = keep(row)
-            body = b""
-            if wanted and payloads:
-                f.seek(at + len(head) + len(http))
-                body = f.read(size - len(http))
-            at += len(head) + size + 4
+        if magic[:1] in (b"\r", b"\n", b"\0"):
+            while (part := f.read(HEAD_BYTES)) and not (left := part.lstrip(b"\r\n\0")):
+                at += len(part)
+            if not part:
+                return
+            at += len(part) - len(left)
+        elif magic[:2] == b"\x1f\x8b"[: len(magic)]:
+            member = Member(f)
+            yield from _members_records(member, keep, payloads)
+            if member.cut:
+                return
+            at = member.after
+        elif magic == b"WARC/"[: len(magic)]:
+            s = Stream(iter(lambda: f.read(HEAD_BYTES), b""))
+            row, cut, size, head, _ = _one(s, keep, payloads)
+            if row is not None:
+                yield row
+            if cut:
+                return
+            at += head + size
         else:
             raise ValueError(f"no WARC record at byte {at}")
-        if wanted:
-            if payloads:
-                row["payload"] = None if row["record_type"] == "revisit" else body
-            yield row
 
 
 @dataclass
@@ -331,7 +417,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """The records of the file or under the folder ``path``; filters on header columns are applied before a payload is decoded.
 
     For these filters it turns ``spark.sql.python.filterPushdown.enabled`` on in the session, and leaves it on: the
-    plan is made when the result is used.
+    plan is made when the result is used. A record that its file's end cuts off has the type ``cut`` (see ``records``).
     """
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

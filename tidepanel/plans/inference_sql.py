@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import lag
+from tidepanel.operators import components as P
 from tidepanel.operators import inference as I  # noqa: E741
+from tidepanel.operators import macro_signals as M
 from tidepanel.operators import regression as G
 from tidepanel.plans import sql as S
 from tidepanel.plans.cross import DAILY, PANEL, daily, panel, rounded
@@ -85,7 +87,15 @@ def x19(s: SparkSession, d: str) -> DataFrame:
     return rounded(I.permutation_test(b, "signal", "forward"), ["significant"], ["true_ic", "shuffled_mean", "shuffled_std", "z", "p"])
 
 
+def m4(s: SparkSession, d: str) -> DataFrame:
+    """Five series as the points of a curve; vectors from the weeks up to the middle of 1998."""
+    bars = tables.bars(s, d)
+    curve = M.on_calendar(bars, tables.macro(s, d), FACTORS)
+    return rounded(P.component_beta(bars, curve, list(FACTORS), F.lit("1998-06-30").cast("date")), TD, ["beta", "value"])
+
+
 TABLE = {
+    "M4_component_beta": (m4, None),
     "R8_factor_neutral": (r8, R8_SQL),
     "R9_volatility_neutral": (r9, f"WITH {S.MONTHLY}, {PANEL} SELECT ticker, date, {S.rounded('mom', 'size', 'ret', 'max_ret_1')} FROM (SELECT ticker, date, high AS max_ret_1, {_pooled('mom')}, {_pooled('size')}, {_pooled('ret')} FROM panel)"),
     "X13_deflated_sharpe": (

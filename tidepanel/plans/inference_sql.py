@@ -53,9 +53,8 @@ def _pooled(x: str) -> str:
 
 def factor_returns(s: SparkSession, d: str) -> DataFrame:
     """Daily returns of each sector beside the relative changes of five series, a fiftieth of them."""
-    m = tables.macro(s, d)
-    wide = m.groupBy("date").agg(*[F.max(F.when(F.col("series_id") == v, F.col("value"))).alias(c) for c, v in FACTORS.items()])
-    change = wide.withColumn("ticker", F.lit(0)).select("date", *[((F.try_divide(F.col(c), lag(c)) - 1) / 50).alias(c) for c in FACTORS])
+    held = M.on_calendar(tables.bars(s, d), tables.macro(s, d), FACTORS)
+    change = held.select("date", *[((F.try_divide(F.col(c), lag(c)) - 1) / 50).alias(c) for c in FACTORS])
     return daily(s, d).join(change, "date")
 
 

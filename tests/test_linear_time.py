@@ -60,6 +60,12 @@ def test_exponential_means_and_quantiles(spark):
             near = [v[2] for v in g[max(0, k - 8) : k + 1] if v[2] is not None]
             assert (q["q"] is None and len(near) < 4) or abs(q["q"] - np.percentile(near, 10)) < 1e-12
             assert q["x2"] == np.median([v[3] for v in g[max(0, k - 4) : k + 1]])
+    ranks = {(r["ticker"], r["date"]): r["p"] for r in L.with_sliding_ranks(spark.createDataFrame([(*r[:2], r[2] and round(r[2]) * 1.0, r[3]) for r in data], SCHEMA), {"p": ("x", 9, 3)}).collect()}
+    for t, g in by_ticker(data).items():
+        for k, r in enumerate(g):
+            near = [round(v[2]) for v in g[max(0, k - 8) : k + 1] if v[2] is not None]
+            want = None if r[2] is None or len(near) < 3 else (sum(v < near[-1] for v in near) + (near.count(near[-1]) + 1) / 2) / len(near)
+            assert ranks[t, r[1]] == want
     assert L.with_ewm(spark.createDataFrame([], SCHEMA), {"e": ("x", 0.1, True)}).collect() == []
 
 

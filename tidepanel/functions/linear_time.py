@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable
 
@@ -112,3 +112,22 @@ def with_quantiles(panel: DataFrame, specs: dict[str, tuple[str, int, float, int
     return per_ticker(panel, names, lambda t: [sliding_quantile(values(t, c), w, q, least) for c, w, q, least in specs.values()], sorted({c for c, _, _, _ in specs.values()}))
 
 
+def sliding_rank(x: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Rank of each value among those in the last ``window`` rows, ties averaged, over their number, from ``least`` values on; a missing value has none."""
+    out = np.full(len(x), np.nan)
+    buffer: list[float] = []
+    recent: deque[float] = deque()
+    for k, v in enumerate(x.tolist()):
+        recent.append(v)
+        if v == v:
+            insort(buffer, v)
+        if len(recent) > window and (old := recent.popleft()) == old:
+            del buffer[bisect_left(buffer, old)]
+        if v == v and len(buffer) >= least:
+            out[k] = (bisect_left(buffer, v) + bisect_right(buffer, v) + 1) / 2 / len(buffer)
+    return out
+
+
+def with_sliding_ranks(panel: DataFrame, specs: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """``panel`` with sliding ranks: new name to column, window and least number of values."""
+    return per_ticker(panel, list(specs), lambda t: [sliding_rank(values(t, c), w, least) for c, w, least in specs.values()], sorted({c for c, _, _ in specs.values()}))

@@ -287,11 +287,14 @@ def _learn(texts_and_ends: Iterable[tuple[str, list[int]]], v: Vocabulary) -> di
 
     def flush() -> None:
         nonlocal waiting
-        ids = {w: v.words.get(w) or v.older_words.get(w) for w in chain.from_iterable(words for _, words in fresh.values())}
-        need = [w for w, i in ids.items() if i is None]
-        ids.update(zip(need, merged(need, v), strict=True))
-        for w, i in ids.items():
-            if len(w) <= WORD_CHARS and w not in v.words:
+        known = v.words
+        ids = {w: known.get(w) for w in set(chain.from_iterable(words for _, words in fresh.values()))}
+        again = {w: v.older_words.get(w) for w, i in ids.items() if i is None}
+        need = [w for w, i in again.items() if i is None]
+        again.update(zip(need, merged(need, v), strict=True))
+        ids.update(again)
+        for w, i in again.items():
+            if len(w) <= WORD_CHARS:
                 if len(v.words) >= KNOWN_WORDS:  # what was used since the last change stays
                     v.older_words, v.words = v.words, {}
                 v.words[w] = i
@@ -373,9 +376,12 @@ def encode(text: str, v: Vocabulary, special: bool = True) -> bytes:
     return encode_all([text], v, special)[0]
 
 
-def decode(ids: list[int | None], v: Vocabulary) -> str:
+def decode(ids: list[int | None] | np.ndarray, v: Vocabulary) -> str:
     """The text of ids, special tokens too. Nulls and ids that the model lacks have no text; bytes that are no UTF-8 are replaced."""
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
     try:
+        if ids and min(ids) < 0:  # would count from the end
+            raise IndexError
         out = b"".join(map(v.surface.__getitem__, ids))
     except (TypeError, IndexError):
         out = b"".join(v.surface[k] for k in ids if k is not None and 0 <= k < len(v.surface))
@@ -448,13 +454,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     return beside_alike(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids array<int>")
 
 
-def id_lists(column: pa.ListArray) -> Iterator[list[int | None]]:
-    """The lists of a column; null lists are empty. Lists without nulls go through numpy, which is much faster."""
+def id_lists(column: pa.ListArray) -> Iterator[list[int | None] | np.ndarray]:
+    """The lists of a column; null lists are empty. If no list has nulls they are arrays, which is much faster."""
     flat, ends = column.values, column.offsets.to_pylist()
     whole = None if flat.null_count else flat.to_numpy()
     for k, ok in enumerate(column.is_valid().to_pylist()):
         a, b = ends[k], ends[k + 1]
-        yield [] if not ok else flat[a:b].to_pylist() if whole is None else whole[a:b].tolist()
+        yield [] if not ok else flat[a:b].to_pylist() if whole is None else whole[a:b]
 
 
 def decoded(tokens: DataFrame, vocabulary: Vocabulary, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -479,9 +485,9 @@ def digests(tokens: DataFrame, vocabulary: Vocabulary, id_col: str = "id", ids_c
         for b in slices(batches, 64):
             sizes, of_ids, of_text = [], [], []
             for ids in id_lists(b.column(1)):
-                known = [k for k in ids if k is not None] if None in ids else ids
+                known = ids if isinstance(ids, np.ndarray) else np.array([k for k in ids if k is not None], np.int32)
                 sizes.append(len(known))
-                of_ids.append(hashlib.sha256(np.array(known, "<i4").tobytes()).hexdigest())
+                of_ids.append(hashlib.sha256(known.astype("<i4", copy=False).tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(decode(ids, v).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

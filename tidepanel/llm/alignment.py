@@ -101,7 +101,8 @@ class Aligner:
         none = np.zeros(0, np.int32)
         for text, raw, ids_b in zip(spaced, bpe_codec.encode_all(spaced, self.a, special=False), self.b.encode(all_texts, num_threads=1), strict=True):
             ids_a, body = np.frombuffer(raw, np.int32), text.encode()
-            same = len(text) > 1 and b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == body == b"".join(map(self.bytes_b.__getitem__, ids_b))
+            # byte-level ids are made of the text's own bytes, so their number tells
+            same = len(text) > 1 and int(self.size_a[ids_a].sum()) == len(body) and b"".join(map(self.bytes_b.__getitem__, ids_b)) == body
             out.append((ids_a, np.array(ids_b, np.int32)) if same else (none, none))
         return out
 

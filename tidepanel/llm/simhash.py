@@ -114,7 +114,7 @@ def _crowded(asked: DataFrame) -> DataFrame:
     return met.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
-def _with_roots(rows: DataFrame) -> DataFrame:
+def fingerprint_roots(rows: DataFrame) -> DataFrame:
     """``(fingerprint, root)``: of every distinct fingerprint, the one that stands for its component."""
     prints = materialise(rows.select("fingerprint").distinct(), "prints")
     roots = connected_components(near_links(prints))
@@ -130,7 +130,7 @@ def simhash_classes(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     columns are not read. An empty table gives an empty result.
     """
     rows = materialise(with_fingerprints(docs, width, id_col, text_col), "fingerprints")
-    rooted = materialise(_with_roots(rows), "roots")
+    rooted = materialise(fingerprint_roots(rows), "roots")
     least = rows.groupBy("fingerprint").agg(F.min("id").alias("id"))
     ids = least.join(rooted, "fingerprint").groupBy("root").agg(F.min("id").alias("component_id"))
     return rows.join(rooted.join(ids, "root").select("fingerprint", "component_id"), "fingerprint").select("id", "fingerprint", "component_id")
@@ -146,5 +146,5 @@ def drop_near_copies(docs: DataFrame, width: int = 3, id_col: str = "doc_id", te
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     least = rows.groupBy("fingerprint").agg(F.min(rank).alias("rank"))
     key = fresh_name(docs, "__row")
-    keep = least.join(_with_roots(rows), "fingerprint").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(key))
+    keep = least.join(fingerprint_roots(rows), "fingerprint").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(key))
     return docs.withColumn(key, _row_key(id_col, text_col)).join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -80,3 +80,46 @@ def test_many_ranks_take_one_shuffle(spark):
         known = [x for x, _ in pairs if x is not None]
         for x, p in pairs:
             assert p is None if x is None else abs(p - (sum(v < x for v in known) + (sum(v == x for v in known) + 1) / 2) / len(known)) < 1e-12
+
+
+def test_rolling_moments_and_slopes():
+    rng = random.Random(4)
+    n, window, least = 90, 12, 5
+    x = np.array([np.nan if rng.random() < 0.2 else rng.choice([0.1, 0.1, rng.gauss(5, 1)]) for _ in range(n)])
+    x[30:60] = 0.1
+    y = np.array([np.nan if rng.random() < 0.2 else rng.gauss(0, 1) for _ in range(n)])
+    mean, var = L.rolling(x, window, least)
+    slope = L.rolling_slope(y, x, window, least)
+    for k in range(n):
+        at = slice(max(0, k - window + 1), k + 1)
+        seen = x[at][~np.isnan(x[at])]
+        if len(seen) < least:
+            assert np.isnan(mean[k]) and np.isnan(var[k])
+            continue
+        assert abs(mean[k] - seen.mean()) < 1e-12
+        # a frame of equal values has no variance at all, so that a division by it is null
+        assert var[k] == 0.0 if len(set(seen)) == 1 else abs(var[k] - seen.var(ddof=1)) < 1e-10
+        both = ~np.isnan(x[at]) & ~np.isnan(y[at])
+        a, b = x[at][both], y[at][both]
+        if len(a) < least or len(set(a)) == 1:
+            assert np.isnan(slope[k])
+        else:
+            assert abs(slope[k] - np.cov(a, b)[0, 1] / a.var(ddof=1)) < 1e-9
+    assert all(len(v) == 0 for v in L.rolling(np.array([]), 3)) and np.isnan(L.rolling(np.full(3, np.nan), 2)[0]).all()
+
+
+def test_ranks_of_a_date_as_windows_give_them(spark):
+    rng = random.Random(8)
+    data = [(k, DAY + dt.timedelta(k % 3), rng.choice([None, 1.0, 2.0, -0.0, 0.0, float("nan"), float("inf")]), rng.choice([None, 3.0])) for k in range(60)] + [(99, DAY + dt.timedelta(9), None, None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    ranked = L.with_ranks(df, {"rx": "x", "ry": "y"})
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    want = {r["ticker"]: (r["rx"], r["ry"]) for r in df.withColumns({"rx": rank_pct("x"), "ry": rank_pct("y")}).collect()}
+    assert {r["ticker"]: (r["rx"], r["ry"]) for r in ranked.collect()} == want
+    assert "Window" not in plan and plan.count("Sort [") == 1  # a window would sort a date's rows twice for each rank
+
+
+def test_rolling_sums_sort_a_ticker_once(spark):
+    df = L.with_rolling_sums(spark.createDataFrame(rows(), SCHEMA), {f"s{k}": F.col("x") * k for k in range(8)}, 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1

@@ -15,43 +15,85 @@ from pyspark.sql.types import DoubleType, StructType
 from tidepanel.functions.columns import by_ticker
 
 
+def running_total(x: np.ndarray, window: int) -> np.ndarray:
+    """Sums of the last ``window`` rows of a table of values, by column.
+
+    Rows are cut into blocks of ``window``. A frame that ends inside a block is the end of the block before and the
+    start of this one, and both are running sums. Nothing is subtracted, so no digits are lost.
+    """
+    n, k = x.shape
+    if not n:
+        return x
+    blocks = np.zeros((-(-n // window), window, k))
+    blocks.reshape(-1, k)[:n] = x
+    out = np.cumsum(blocks, axis=1).reshape(-1, k)[:n]
+    ends = np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1, k)
+    inside = np.flatnonzero(np.arange(n) % window != window - 1)
+    inside = inside[inside >= window]
+    out[inside] += ends[inside - window + 1]
+    return out
+
+
 def with_rolling_sums(panel: DataFrame, sums: dict[str, Column], window: int) -> DataFrame:
     """``panel`` with the sum of each expression over the ticker's last ``window`` rows, nulls as zero.
 
-    A ticker's rows are cut into blocks of ``window``. A frame that ends inside a block is the end of the block before
-    and the start of this one, and both are running sums, which Spark updates from row to row; a sliding frame it would add up
-    anew for each row. Nothing is subtracted, so no digits are lost. All frames need the rows of a ticker
-    together, so the panel is shuffled once; of repeated dates the order is that of one row number.
+    A row costs the same whatever the window (``running_total``). The panel is shuffled and sorted by ticker once, and
+    a task holds one ticker's rows at a time; of repeated dates the order is any one.
     """
-    b = panel.withColumn("_rn", F.row_number().over(by_ticker())).withColumn("_block", F.floor((F.col("_rn") - 1) / window))
-    block = Window.partitionBy("ticker", "_block")
-    so_far, from_here = block.orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0), block.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
-    b = b.select("*", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"_x_{n}") for n, x in sums.items()])
-    b = b.select("*", *[F.sum(f"_x_{n}").over(from_here).alias(f"_e_{n}") for n in sums]).select("*", *[F.sum(f"_x_{n}").over(so_far).alias(f"_s_{n}") for n in sums])
-    inside = F.col("_rn") % window != 0
-    rows = Window.partitionBy("ticker").orderBy("_rn")
-    total = [(F.col(f"_s_{n}") + F.when(inside, F.coalesce(F.lag(f"_e_{n}", window - 1).over(rows), F.lit(0.0))).otherwise(0.0)).alias(n) for n in sums]
-    return b.select(*panel.columns, *total)
-
-
-def per_ticker(panel: DataFrame, names: list[str], work: Callable[[pa.Table], list[np.ndarray]], needs: list[str]) -> DataFrame:
-    """``panel`` with new double columns that ``work`` computes from a ticker's rows in date order.
-
-    A task holds one ticker's rows, one a date; NaN in a result becomes null. A panel that is dealt by ticker already
-    is not shuffled again.
+    held = {n: f"_x_{n}" for n in sums}
+    b = panel.select("*", *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(held[n]) for n, x in sums.items()])
+
+    def work(t: pa.Table) -> list[np.ndarray]:
+        return list(running_total(np.column_stack([t.column(c).to_numpy() for c in held.values()]), window).T)
+
+    kept = [c for c in panel.columns if c not in sums]
+    return per_ticker(b, list(sums), work, list(held.values()), kept, missing=False).select(*kept, *sums)
+
+
+def per_ticker(panel: DataFrame, names: list[str], work: Callable[[pa.Table], list[np.ndarray]], needs: list[str], kept: list[str] | None = None, missing: bool = True) -> DataFrame:
+    """``panel`` with new double columns that ``work`` computes from a ticker's rows in date order; of the others those in ``kept``.
+
+    A task holds one ticker's rows, one a date; with ``missing``, NaN in a result becomes null. A panel that is dealt
+    by ticker already is not shuffled again.
     """
-    kept = [c for c in panel.columns if c not in names]
+    return _per_group(panel, "ticker", "date", names, work, needs, kept, missing)
+
+
+def _per_group(panel: DataFrame, key: str, order: str | None, names: list[str], work: Callable[[pa.Table], list[np.ndarray]], needs: list[str], kept: list[str] | None = None, missing: bool = True) -> DataFrame:
+    kept = [c for c in panel.columns if c not in names] if kept is None else kept
     schema = StructType([panel.schema[c] for c in kept])
     for n in names:
         schema = schema.add(n, DoubleType())
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("date")
-        for n, x in zip(names, work(t.select(needs)), strict=True):
-            t = t.append_column(n, pa.array(x, pa.float64(), from_pandas=True))
-        return t.select([*kept, *names])
+        t = t.sort_by(order) if order else t
+        found = work(t.select(needs))
+        t = t.select(kept)
+        for n, x in zip(names, found, strict=True):
+            t = t.append_column(n, pa.array(x, pa.float64(), from_pandas=missing))
+        return t
+
+    return panel.select(*dict.fromkeys([key, *([order] if order else []), *kept, *needs])).groupBy(key).applyInArrow(run, schema)
+
+
+def ranks(x: pa.ChunkedArray) -> np.ndarray:
+    """Ranks of the non-null values over their number, ties averaged; null as NaN, and NaN ranks as the largest value."""
+    known = x.is_valid().to_numpy()
+    out = np.full(len(known), np.nan)
+    _, place, counts = np.unique(x.drop_null().cast(pa.float64()).to_numpy(), return_inverse=True, return_counts=True, equal_nan=True)
+    last = np.cumsum(counts)
+    out[known] = ((last - counts + 1 + last) / 2 / known.sum())[place] if known.any() else 0.0
+    return out
+
+
+def with_ranks(panel: DataFrame, columns: dict[str, str], by: str = "date", kept: list[str] | None = None) -> DataFrame:
+    """``panel`` with the rank on its date of each column, as ``columns.rank_pct`` gives it: new name to column.
 
-    return panel.select(*kept).groupBy("ticker").applyInArrow(run, schema)
+    Any number of ranks takes one shuffle and one sort by date, and a task holds one date's rows at a time. Windows
+    would sort the rows twice for each rank, and a task would hold all those copies.
+    """
+    names = list(columns)
+    return _per_group(panel, by, None, names, lambda t: [ranks(t.column(c)) for c in columns.values()], sorted(set(columns.values())), kept)
 
 
 def values(t: pa.Table, name: str) -> np.ndarray:
@@ -59,6 +101,51 @@ def values(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).cast(pa.float64()).to_numpy()
 
 
+def rolling(x: np.ndarray, window: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample variance of the values in the last ``window`` rows, NaN with fewer than ``least`` (default window // 2) of them.
+
+    Squares are of the distances from the mean of all values, and a frame of equal values has a variance of zero.
+    """
+    known = ~np.isnan(x)
+    centre = x[known].mean() if known.any() else 0.0
+    d = np.where(known, x - centre, 0.0)
+    at = np.flatnonzero(known)
+    moved = np.zeros(len(x))
+    moved[at[1:]] = x[at[1:]] != x[at[:-1]]
+    sums = running_total(np.column_stack([known, np.where(known, x, 0.0), d, d * d]), window)
+    n = sums[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = sums[:, 1] / n
+        var = np.maximum(sums[:, 3] - sums[:, 2] ** 2 / n, 0.0) / (n - 1)
+    # the last change lies before the frame's first value: all its values are equal
+    change = np.maximum.accumulate(np.where(moved > 0, np.arange(len(x)), -1)) if len(x) else at
+    first = np.searchsorted(at, np.arange(len(x)) - window + 1)
+    start = at[np.minimum(first, max(len(at) - 1, 0))] if len(at) else np.zeros(len(x), int)
+    var[(change <= start) & (n > 1)] = 0.0
+    few = n < (window // 2 if least is None else least)
+    mean[few | (n == 0)] = np.nan
+    var[few | (n < 2)] = np.nan
+    return mean, var
+
+
+def rolling_slope(y: np.ndarray, x: np.ndarray, window: int, least: int = 2) -> np.ndarray:
+    """Slope of y on x over the last ``window`` rows, those with both values; NaN with fewer than ``least`` of them or where x is constant."""
+    both = ~np.isnan(x) & ~np.isnan(y)
+    if not both.any():
+        return np.full(len(x), np.nan)
+    dx, dy = (np.where(both, v - v[both].mean(), 0.0) for v in (x, y))
+    n, sx, sy, sxy = running_total(np.column_stack([both, dx, dy, dx * dy]), window).T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = (sxy - sx * sy / n) / (n - 1)
+    return np.where(n >= least, ratio(cov, rolling(np.where(both, x, np.nan), window, 2)[1]), np.nan)
+
+
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, NaN where b is zero."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(b == 0, np.nan, a / np.where(b == 0, 1.0, b))
+
+
 def running_mean(x: np.ndarray, alpha: float, adjust: bool) -> np.ndarray:
     """Exponential mean of the values up to each row; missing ones have none and don't age the others.
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import TRADING_DAYS, div, rank_pct, std
+from tidepanel.functions.columns import TRADING_DAYS, div, std
+from tidepanel.functions.linear_time import with_ranks
 
 
 def forward_volatility(near: str, near_days: int, far: str, far_days: int) -> Column:
@@ -46,10 +47,10 @@ SIGNALS: dict[str, Callable[[], Column]] = {
 
 def signal(panel: DataFrame, name: str) -> DataFrame:
     """One signal as ``value``."""
-    return panel.withColumn("_x", F.round(SIGNALS[name](), 9)).withColumn("value", rank_pct("_x")).drop("_x")
+    return with_ranks(panel.withColumn("_x", F.round(SIGNALS[name](), 9)), {"value": "_x"}, kept=[c for c in panel.columns if c != "value"])
 
 
 def signals(panel: DataFrame, names: list[str]) -> DataFrame:
     """Several signals, a column each; the ticker's windows share one exchange, the date's ranks another."""
     raw = panel.withColumns({f"_{n}": F.round(SIGNALS[n](), 9) for n in names})
-    return raw.select("ticker", "date", *[rank_pct(f"_{n}").alias(n) for n in names])
+    return with_ranks(raw, {n: f"_{n}" for n in names}, kept=["ticker", "date"])

@@ -28,7 +28,7 @@ def _market(s: SparkSession, d: str) -> DataFrame:
 
 def w46(s: SparkSession, d: str) -> DataFrame:
     f = changes(s, d)
-    out = X.momentum_signals(X.rolling_betas(tables.bars(s, d), f, NAMES), X.factor_momentum(f, NAMES), NAMES)
+    out = X.momentum_signals(X.rolling_betas(tables.bars(s, d).select(*TD, "ret"), f, NAMES), X.factor_momentum(f, NAMES), NAMES)
     return rounded(out, TD, ["value", *[f"value_{c}" for c in NAMES]], 5)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import TRADING_DAYS, by_date, by_ticker, clip, div, lag, mean, rank_pct, std
-from tidepanel.functions.linear_time import with_ewm
+from tidepanel.functions.linear_time import with_ewm, with_ranks
 
 
 def zero(c: str) -> Column:
@@ -78,12 +78,13 @@ SIGNALS: dict[str, Callable[[], Column]] = {
 
 
 def signal(panel: DataFrame, name: str) -> DataFrame:
-    return with_market_value(panel).withColumn("_x", F.round(SIGNALS[name](), 9)).withColumn("value", rank_pct("_x")).drop("_x")
+    b = with_market_value(panel).withColumn("_x", F.round(SIGNALS[name](), 9))
+    return with_ranks(b, {"value": "_x"}, kept=[c for c in b.columns if c not in ("_x", "value")])
 
 
 def signals(panel: DataFrame, names: list[str]) -> DataFrame:
     raw = with_market_value(panel).withColumns({f"_{n}": F.round(SIGNALS[n](), 9) for n in names})
-    return raw.select("ticker", "date", *[rank_pct(f"_{n}").alias(n) for n in names])
+    return with_ranks(raw, {n: f"_{n}" for n in names}, kept=["ticker", "date"])
 
 
 def distress(panel: DataFrame, year: int = 12, quarter: int = 3, least: int = 3, periods: int = TRADING_DAYS) -> DataFrame:

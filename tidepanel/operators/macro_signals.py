@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import by_ticker, change, clip, div, lag, mean, momentum, rank_pct, std
-from tidepanel.functions.linear_time import with_rolling_sums
+from tidepanel.functions.columns import by_ticker, change, clip, div, lag, mean, momentum, std
+from tidepanel.functions.linear_time import with_ranks, with_rolling_sums
 
 
 def on_calendar(bars: DataFrame, series: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -44,7 +44,7 @@ def beta(panel: DataFrame, x: str, window: int = 756, least: int = 252) -> DataF
 
 
 def ranked(panel: DataFrame, x: Column) -> DataFrame:
-    return panel.withColumn("_x", F.round(x, 9)).withColumn("value", rank_pct("_x")).drop("_x")
+    return with_ranks(panel.withColumn("_x", F.round(x, 9)), {"value": "_x"}, kept=[c for c in panel.columns if c != "value"])
 
 
 def regime(x: Column) -> Column:

@@ -81,7 +81,7 @@ cal AS (SELECT 0 AS ticker, date, last_value(a IGNORE NULLS) OVER (ORDER BY date
 
 def _macro(op: Callable[..., DataFrame], values: list[str], **kwargs) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        bars = tables.bars(s, d)
+        bars = tables.bars(s, d).select(*TD, "ret")
         return rounded(op(bars, M.on_calendar(bars, tables.macro(s, d), SERIES), **kwargs), TD, values)
 
     return run

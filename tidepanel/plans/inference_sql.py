@@ -88,7 +88,7 @@ def x19(s: SparkSession, d: str) -> DataFrame:
 
 def m4(s: SparkSession, d: str) -> DataFrame:
     """Five series as the points of a curve; vectors from the weeks up to the middle of 1998."""
-    bars = tables.bars(s, d)
+    bars = tables.bars(s, d).select(*TD, "ret")
     curve = M.on_calendar(bars, tables.macro(s, d), FACTORS)
     return rounded(P.component_beta(bars, curve, list(FACTORS), F.lit("1998-06-30").cast("date")), TD, ["beta", "value"])
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import by_date, clip, div, lag, mean, rank_pct, rolling, std
+from tidepanel.functions.columns import by_date, clip, div, lag, mean, rank_pct, rolling
+from tidepanel.functions.linear_time import per_ticker, ratio, rolling as rolling_moments, values, with_ranks
 
 
 def first_days(calendar: DataFrame) -> DataFrame:
@@ -88,9 +91,14 @@ def coskewness_signal(bars: DataFrame, market: DataFrame, lookback: int = 60, le
     """Rank of negated coskewness with the market ``(date, ret)``: mean of the demeaned return times the squared demeaned market, over std times variance."""
     m = market.select(F.lit(0).alias("ticker"), "date", F.col("ret").alias("m"))
     m = m.withColumn("m2", F.pow(F.col("m") - mean("m", lookback, least), 2)).withColumn("mv", rolling(F.var_samp, "m", lookback, least)).select("date", "m2", "mv")
-    b = bars.join(m, "date").withColumn("prod", (F.col("ret") - mean("ret", lookback, least)) * F.col("m2"))
-    raw = clip(div(mean("prod", lookback, least), std("ret", lookback, least) * F.col("mv")), -3.0, 3.0)
-    return b.withColumn("_c", -F.round(raw, 9)).withColumn("value", rank_pct("_c")).select("ticker", "date", "value")
+
+    def work(t: pa.Table) -> list[np.ndarray]:
+        r = values(t, "ret")
+        mean_r, var_r = rolling_moments(r, lookback, least)
+        return [ratio(rolling_moments((r - mean_r) * values(t, "m2"), lookback, least)[0], np.sqrt(var_r) * values(t, "mv"))]
+
+    b = per_ticker(bars.join(m, "date"), ["raw"], work, ["ret", "m2", "mv"], ["ticker", "date"])
+    return with_ranks(b.withColumn("_c", -F.round(clip("raw", -3.0, 3.0), 9)), {"value": "_c"}, kept=["ticker", "date"])
 
 
 def sector_tailwind(bars: DataFrame, sectors: DataFrame, window: int = 21, least: int = 3) -> DataFrame:

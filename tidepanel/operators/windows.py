@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import by_date, by_ticker, TRADING_DAYS, change, clip, div, lag, mean, momentum, rank_pct, rolling, std, total, zscore
-from tidepanel.functions.linear_time import with_ewm, with_quantiles
+from tidepanel.functions.linear_time import per_ticker, ratio, rolling as rolling_moments, rolling_slope, running_total, values, with_ewm, with_quantiles, with_ranks, with_rolling_sums
 
 YEAR = math.sqrt(TRADING_DAYS)
 
@@ -52,9 +53,9 @@ def rolling_rank(bars: DataFrame, column: str = "close", lookback: int = 252, le
 def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
     b = bars.withColumn("_d", F.col("close") - lag("close"))
     b = b.withColumn("_gain", F.greatest(F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0))).withColumn("_loss", F.greatest(-F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0)))
+    b = b.withColumn("_seen", F.count("_d").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) >= window)
     b = with_ewm(b, {"_g": ("_gain", 1 / window, False), "_l": ("_loss", 1 / window, False)})
-    seen = F.count("_d").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) >= window
-    return _value(b, F.when(seen, 50 - (100 - 100 / (1 + div("_g", "_l"))))).drop("_d", "_gain", "_loss", "_g", "_l")
+    return _value(b, F.when(F.col("_seen"), 50 - (100 - 100 / (1 + div("_g", "_l"))))).drop("_d", "_gain", "_loss", "_g", "_l", "_seen")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, span: int = 9) -> DataFrame:
@@ -177,9 +178,15 @@ def sector_relative_momentum(bars: DataFrame, sectors: DataFrame, window: int =
 
 
 def hurst(bars: DataFrame, window: int = 63, n: int = 10) -> DataFrame:
-    b = bars.withColumn("_l", F.ln(div("close", lag("close")))).withColumn("_a", total("_l", n, n))
-    ratio = div(rolling(F.var_samp, "_a", window), n * rolling(F.var_samp, "_l", window))
-    return _value(b, clip(0.5 * F.log2(F.when(ratio.isNotNull(), F.greatest(ratio, F.lit(1e-6)))), 0.0, 1.0)).drop("_l", "_a")
+    def work(t):
+        x = values(t, "_l")
+        sums = running_total(np.column_stack([np.nan_to_num(x), ~np.isnan(x)]), n)
+        ten = np.where(sums[:, 1] >= n, sums[:, 0], np.nan)
+        return [ratio(rolling_moments(ten, window)[1], n * rolling_moments(x, window)[1])]
+
+    b = bars.withColumn("_l", F.ln(div("close", lag("close"))))
+    b = per_ticker(b, ["_q"], work, ["_l"], bars.columns)
+    return _value(b, clip(0.5 * F.log2(F.when(F.col("_q").isNotNull(), F.greatest("_q", F.lit(1e-6)))), 0.0, 1.0)).drop("_q")
 
 
 def realized_skewness(bars: DataFrame, window: int = 21) -> DataFrame:
@@ -208,16 +215,18 @@ def tail_dependence(bars: DataFrame, window: int = 126, q: float = 0.1) -> DataF
 
 def rolling_covariance_beta(bars: DataFrame, window: int = 126, least: int = 60) -> DataFrame:
     """Sample covariance with the market over its sample variance."""
-    frame = by_ticker().rowsBetween(1 - window, 0)
-    b = _market(bars)
-    return _value(b, F.when(F.count("ret").over(frame) >= least, div(F.covar_samp("ret", "mkt").over(frame), F.var_samp(F.when(F.col("ret").isNotNull(), F.col("mkt"))).over(frame))))
+    return per_ticker(_market(bars), ["value"], lambda t: [rolling_slope(values(t, "ret"), values(t, "mkt"), window, least)], ["ret", "mkt"])
 
 
 def coskewness(bars: DataFrame, window: int = 126) -> DataFrame:
     """Minus E[e m2] / (sd(r) var(m)) of deviations from rolling means."""
-    b = _market(bars).withColumn("_e", F.col("ret") - mean("ret", window)).withColumn("_d", F.col("mkt") - mean("mkt", window))
-    b = b.withColumn("_x", F.col("_e") * F.col("_d") ** 2)
-    return _value(b, -div(mean("_x", window), std("ret", window) * rolling(F.var_samp, "mkt", window))).drop("_e", "_d", "_x")
+
+    def work(t):
+        r, m = values(t, "ret"), values(t, "mkt")
+        (r_mean, r_var), (m_mean, m_var) = rolling_moments(r, window), rolling_moments(m, window)
+        return [-ratio(rolling_moments((r - r_mean) * (m - m_mean) ** 2, window)[0], np.sqrt(r_var) * m_var)]
+
+    return per_ticker(_market(bars), ["value"], work, ["ret", "mkt"])
 
 
 def semi_betas(bars: DataFrame, window: int = 126) -> DataFrame:
@@ -225,10 +234,10 @@ def semi_betas(bars: DataFrame, window: int = 126) -> DataFrame:
     b = _market(bars)
     neg, pos = lambda x: F.least(F.col(x), F.lit(0.0)), lambda x: F.greatest(F.col(x), F.lit(0.0))
     parts = {"n": neg("ret") * neg("mkt"), "p": pos("ret") * pos("mkt"), "mn": -neg("ret") * pos("mkt"), "mp": -pos("ret") * neg("mkt")}
-    for name, x in {**parts, "m2": F.col("mkt") ** 2}.items():
-        b = b.withColumn(f"_{name}", F.when(F.col("ret").isNotNull(), x))
-    b = b.select("*", *[div(total(f"_{p}", window), total("_m2", window)).alias(f"beta_{p}") for p in parts])
-    return _value(b, F.col("beta_n") - F.col("beta_mn")).drop(*[f"_{p}" for p in parts], "_m2")
+    sums = {f"_{name}": F.when(F.col("ret").isNotNull(), x) for name, x in {**parts, "m2": F.col("mkt") ** 2}.items()}
+    b = with_rolling_sums(b, sums | {"_seen": F.col("ret").isNotNull().cast("int")}, window)
+    b = b.select("*", *[F.when(F.col("_seen") >= window // 2, div(f"_{p}", "_m2")).alias(f"beta_{p}") for p in parts])
+    return _value(b, F.col("beta_n") - F.col("beta_mn")).drop(*sums, "_seen")
 
 
 def factor_momentum(series: DataFrame, lookback: int = 252, skip: int = 21) -> DataFrame:
@@ -309,7 +318,7 @@ def lottery(bars: DataFrame, window: int = 21) -> DataFrame:
 def mean_reversion(bars: DataFrame) -> DataFrame:
     """Mean of the ranks of the reversion score and the RSI."""
     b = zscore_reversion(bars).withColumnRenamed("value", "_z")
-    b = rsi(b).withColumnRenamed("value", "_r")
-    return _value(b, (rank_pct("_z") + rank_pct("_r")) / 2).drop("_z", "_r")
+    b = with_ranks(rsi(b).withColumnRenamed("value", "_r"), {"_zr": "_z", "_rr": "_r"}, kept=bars.columns)
+    return _value(b, (F.col("_zr") + F.col("_rr")) / 2).drop("_zr", "_rr")
 
 

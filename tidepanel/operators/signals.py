@@ -6,33 +6,29 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import by_date, by_ticker, clip, div, lag, mean, rank_pct, std, total
+from tidepanel.functions.linear_time import per_ticker, rolling as rolling_moments, rolling_slope, values
 
 
 def rolling_beta_to(panel: DataFrame, factor: DataFrame, window: int = 126, least: int = 60) -> DataFrame:
     """Covariance over variance of the returns against a factor ``(date, x)`` on common dates, sample forms."""
-    b = panel.join(factor, "date")
-    frame = by_ticker().rowsBetween(1 - window, 0)
-    pair = F.when(F.col("ret").isNotNull(), F.col("x"))
-    return b.withColumn("value", F.when(F.count(F.when(F.col("x").isNotNull(), F.col("ret"))).over(frame) >= least, div(F.covar_samp("ret", "x").over(frame), F.var_samp(pair).over(frame))))
+    return per_ticker(panel.join(factor, "date"), ["value"], lambda t: [rolling_slope(values(t, "ret"), values(t, "x"), window, least)], ["ret", "x"])
 
 
 def downside_beta_spread(panel: DataFrame, window: int = 126) -> DataFrame:
     """Beta on days when the market is under its rolling mean less beta on the other days."""
-    b = panel.withColumn("mkt", F.avg("ret").over(by_date()))
-    b = b.withColumn("_mu", mean("mkt", window))
-    frame = by_ticker().rowsBetween(1 - window, 0)
 
-    def beta(on: Column) -> Column:
-        x, y = F.when(on & F.col("ret").isNotNull(), F.col("mkt")), F.when(on, F.col("ret"))
-        return div(F.covar_pop(y, x).over(frame), F.var_pop(x).over(frame))
+    def work(t: pa.Table) -> list[np.ndarray]:
+        r, m = values(t, "ret"), values(t, "mkt")
+        mean = rolling_moments(m, window)[0]
+        down, other = (rolling_slope(r, np.where(on, m, np.nan), window) for on in (m < mean, m >= mean))
+        return [down - other]
 
-    down = F.col("mkt") < F.col("_mu")
-    b = b.withColumn("_down", down)
-    return b.withColumn("value", beta(F.col("_down")) - beta(~F.col("_down"))).drop("_mu", "_down")
+    return per_ticker(panel.withColumn("mkt", F.avg("ret").over(by_date())), ["value"], work, ["ret", "mkt"])
 
 
 def combined_regime(market: DataFrame, window: int = 40) -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidepanel.functions.columns import col, div
 
@@ -38,16 +45,57 @@ def similarity_to_prior(filings: DataFrame, least_chars: int = 100) -> DataFrame
     return usable.withColumn("_p", prior).withColumn("value", F.when(F.col("_p").isNotNull(), jaccard("_w", "_p"))).drop("_w", "_p")
 
 
+#: Parts of a ticker's filings in the order of their numbers, each a group of its own.
+PARTS = 64
+WORD = re.compile(rb"[a-z']+")
+
+
+def with_prior(filings: DataFrame, parts: int = PARTS) -> DataFrame:
+    """``filings(ticker, seq, text)`` with ``prior``, the text of the ticker's filing before it.
+
+    A ticker's filings are cut into parts by sampled quantiles of ``seq``, which only set the parts' sizes: the last
+    filing of each part goes to the next one too, so no group holds all of a ticker. What is broadcast is one row a
+    ticker, and one a part.
+    """
+    cuts = filings.groupBy(F.col("ticker").alias("_t")).agg(F.percentile_approx("seq", [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    b = filings.join(F.broadcast(cuts), F.col("ticker").eqNullSafe(F.col("_t")))
+    b = b.select("ticker", "seq", "text", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col("seq"))).alias("_part"))
+    ends = b.groupBy(F.col("ticker").alias("_t"), F.col("_part").alias("_p")).agg(F.max("seq").alias("_end"))
+    ends = ends.withColumn("_next", F.lead("_p").over(Window.partitionBy("_t").orderBy("_p"))).filter("_next is not null")
+    last = F.col("ticker").eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_p")) & F.col("seq").eqNullSafe(F.col("_end"))
+    carried = b.join(F.broadcast(ends), last).select("ticker", "seq", "text", F.col("_next").alias("_part"), F.lit(False).alias("_own"))
+    line = b.withColumn("_own", F.lit(True)).unionByName(carried)
+    prior = F.lag("text").over(Window.partitionBy("ticker", "_part").orderBy("seq"))
+    return line.withColumn("prior", prior).filter("_own").select("ticker", "seq", "text", "prior")
+
+
+def cosine(a: Counter, b: Counter) -> float | None:
+    """Cosine of two texts' word counts, weighted by a smoothed document frequency over the two; None if one has no words."""
+    alone = math.log(1.5) + 1  # a word of both weighs one
+    norm = [math.sqrt(sum((n if w in other else n * alone) ** 2 for w, n in c.items())) for c, other in ((a, b), (b, a))]
+    return sum(n * b[w] for w, n in a.items() if w in b) / (norm[0] * norm[1]) if a and b else None
+
+
 def tfidf_cosine(filings: DataFrame, least_chars: int = 100) -> DataFrame:
-    """Cosine of each filing and the one before it under word weights with a smoothed document frequency over the pair."""
-    order = Window.partitionBy("ticker").orderBy("seq")
-    usable = filings.filter(F.length("text") >= least_chars).withColumn("prior", F.lag("text").over(order)).filter("prior is not null")
-    both = usable.select("ticker", "seq", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("prior").alias("t")))).alias("p"))
-    terms = both.select("ticker", "seq", "p.side", F.explode(words("p.t")).alias("word"))
-    tf = terms.groupBy("ticker", "seq", "word").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    idf = F.ln(F.lit(3.0) / (1 + (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int"))) + 1
-    w = tf.withColumn("_a", F.col("a") * idf).withColumn("_b", F.col("b") * idf)
-    return w.groupBy("ticker", "seq").agg(div(F.sum(F.col("_a") * F.col("_b")), F.sqrt(F.sum(F.col("_a") ** 2)) * F.sqrt(F.sum(F.col("_b") ** 2))).alias("value"))
+    """Cosine of each filing and the one before it under word weights with a smoothed document frequency over the pair.
+
+    Two texts without words give no row. Words are counted beside their text: none is shuffled.
+    """
+    both = with_prior(filings.filter(F.length("text") >= least_chars).select("ticker", "seq", "text")).filter("prior is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, found = [], []
+            for k in range(batch.num_rows):
+                a, b = (Counter(WORD.findall(batch.column(c)[k].as_py().encode())) for c in (2, 3))
+                if a or b:
+                    kept.append(k)
+                    found.append(cosine(a, b))
+            rows = batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.float64())], ["ticker", "seq", "value"])
+
+    schema = StructType([filings.schema["ticker"], filings.schema["seq"]]).add("value", "double")
+    return both.select("ticker", "seq", F.lower("text"), F.lower("prior")).mapInArrow(run, schema)
 
 
 def tone(filings: DataFrame, dictionary: DataFrame, least_words: int = 100) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,34 +102,64 @@ def volatility_target(weights: DataFrame, vol: str, target: float, correlation:
     return weights.withColumn("value", w * scale)
 
 
+#: Blocks of ids on either side, at most: each id's returns are copied so many times, whatever their number.
+BLOCKS = 24
+
+
+def _table(ids: pa.Table, months: np.ndarray) -> np.ndarray:
+    """Returns by month and id, NaN where there is none; the mean of several in one month."""
+    counts = pa.compute.list_value_length(ids["months"].combine_chunks()).to_numpy()
+    at = np.searchsorted(months, ids["months"].combine_chunks().flatten().to_numpy()), np.repeat(np.arange(len(counts)), counts)
+    total, n = np.zeros((len(months), len(counts))), np.zeros((len(months), len(counts)))
+    np.add.at(total, at, ids["rets"].combine_chunks().flatten().to_numpy())
+    np.add.at(n, at, 1.0)
+    with np.errstate(invalid="ignore"):
+        return total / n
+
+
 def match_by_returns(left: DataFrame, right: DataFrame, least: int = 24, corr: float = 0.9, block: int = 512) -> DataFrame:
     """One-to-one links of ids by the correlation of their monthly returns ``(id, month, ret)`` on common months.
 
-    Every id of the left is held against every id of the right, in pairs of blocks of about ``block`` ids: a task
-    multiplies two tables of months and ids, and only pairs with ``least`` months and the correlation leave it.
+    Every id of the left is held against every id of the right, in pairs of blocks; a side has ``BLOCKS`` of them at
+    most, so what is shuffled grows with the input and not with the pairs. A task multiplies tables of months and
+    ``block`` ids at a time, and only an id's best pairs with ``least`` months and the correlation leave it.
     """
-    sides = [df.filter("ret is not null and not isnan(ret)").select("id", "month", "ret") for df in (left, right)]
-    parts = [max(1, math.ceil(df.select("id").distinct().count() / block)) for df in sides]
+    sides = [df.filter("ret is not null and not isnan(ret)").groupBy("id").agg(F.collect_list(F.struct(F.unix_date("month").alias("m"), F.col("ret").cast("double").alias("r"))).alias("x")) for df in (left, right)]
+    sides = [df.select(F.col("id").cast("long").alias("id"), F.col("x.m").alias("months"), F.col("x.r").alias("rets")) for df in sides]
+    parts = [min(BLOCKS, max(1, math.ceil(df.select("id").distinct().count() / block))) for df in (left, right)]
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = sides[0].select("*", place(parts[0]).alias("_a")).select("*", every(parts[1]).alias("_b"))
     b = sides[1].select("*", place(parts[1]).alias("_b")).select("*", every(parts[0]).alias("_a"))
 
-    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        x, y = (df.pivot_table(index="month", columns="id", values="ret") for df in (one, two))
-        months = x.index.intersection(y.index)
-        rows, cols = x.columns.to_numpy("int64"), y.columns.to_numpy("int64")
-        x, y = x.loc[months].to_numpy(float), y.loc[months].to_numpy(float)
-        has_x, has_y = (~np.isnan(v) * 1.0 for v in (x, y))
-        x, y = np.nan_to_num(x), np.nan_to_num(y)
-        n, sx, sy = has_x.T @ has_y, x.T @ has_y, has_x.T @ y
-        with np.errstate(divide="ignore", invalid="ignore"):
-            spread = (n * ((x * x).T @ has_y) - sx * sx) * (n * (has_x.T @ (y * y)) - sy * sy)
-            score = np.round((n * (x.T @ y) - sx * sy) / np.sqrt(spread), 9)
-        i, j = np.nonzero((n >= least) & (score >= corr) & np.isfinite(score))
-        return pd.DataFrame({"id": rows[i], "other": cols[j], "n": n[i, j].astype("int64"), "score": score[i, j]})
-
-    scored = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(run, "id long, other long, n long, score double")
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        months = np.intersect1d(*(np.unique(t["months"].combine_chunks().flatten().to_numpy()) for t in (one, two))) if one.num_rows and two.num_rows else np.array([], "int32")
+        every_month = np.unique(np.concatenate([t["months"].combine_chunks().flatten().to_numpy() for t in (one, two)])) if len(months) else months
+        shared = np.searchsorted(every_month, months)
+        found, others = [], []
+        for c in range(0, two.num_rows if len(months) else 0, block):
+            others.append((two["id"].slice(c, block).to_numpy(), _table(two.slice(c, block), every_month)[shared]))
+        for r in range(0, one.num_rows if others else 0, block):
+            rows = one["id"].slice(r, block).to_numpy()
+            x = _table(one.slice(r, block), every_month)[shared]
+            has_x, x = ~np.isnan(x) * 1.0, np.nan_to_num(x)
+            for cols, y in others:
+                has_y, y = ~np.isnan(y) * 1.0, np.nan_to_num(y)
+                n, sx, sy = has_x.T @ has_y, x.T @ has_y, has_x.T @ y
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    spread = (n * ((x * x).T @ has_y) - sx * sx) * (n * (has_x.T @ (y * y)) - sy * sy)
+                    score = np.round((n * (x.T @ y) - sx * sy) / np.sqrt(spread), 9)
+                score[~((n >= least) & (score >= corr) & np.isfinite(score))] = -np.inf
+                top = np.where(np.isfinite(score), cols[None, :], np.iinfo("int64").max)
+                top[score < score.max(axis=1)[:, None]] = np.iinfo("int64").max
+                j = top.argmin(axis=1)
+                i = np.flatnonzero(np.isfinite(score[np.arange(len(rows)), j]))
+                found.append((rows[i], cols[j[i]], n[i, j[i]].astype("int64"), score[i, j[i]]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        columns = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [np.array([])] * 4
+        return pa.Table.from_arrays([pa.array(v).cast(k) for v, k in zip(columns, kinds, strict=True)], ["id", "other", "n", "score"])
+
+    scored = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, "id long, other long, n long, score double")
     best = scored.withColumn("_i", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter("_i = 1")
     return best.withColumn("_o", F.row_number().over(Window.partitionBy("other").orderBy(F.desc("score"), "id"))).filter("_o = 1").select("id", "other", "n", "score")
 

@@ -112,6 +112,29 @@ def test_rows_equal_brute_force(spark, brute, models, monkeypatch, most, group):
     assert got == want
 
 
+def test_units_encode_as_whole_texts(brute, models, monkeypatch):
+    rng = random.Random(17)
+    letters = [*"   ", "\n", "\t", "\r", "a", "Z", "é", "日", "'s", "'", "7", ".", "▁", "\xa0", "\x85", "\x1c", "\x1f", "\u3000", "\u2028", "\u200b", "\u180e", "\x00", "\u0301", "<s>", "<0x41>"]
+    all_texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    want = [brute.groups(t)[:2] for t in all_texts]
+    for known, part in ((400_000, 1 << 20), (50, 5)):
+        monkeypatch.setattr(A, "KNOWN_UNITS", known)
+        monkeypatch.setattr(A, "PART_CHARS", part)
+        both = A.Aligner(models)
+        got = [ids for at in range(0, len(all_texts), 64) for ids in both.tokens(all_texts[at : at + 64])]
+        assert [(a.tolist(), b.tolist()) for a, b in got] == want
+
+
+def test_units_seen_before_are_not_encoded_again(models, monkeypatch):
+    seen = []
+    listed = bpe_codec.encode_listed
+    monkeypatch.setattr(bpe_codec, "encode_listed", lambda new, v: seen.extend(new) or listed(new, v))
+    both = A.Aligner(models)
+    both.tokens(["the cat, sat", "on the\nmat"])
+    both.tokens(["sat on sat the cat,"])
+    assert sorted(seen) == ["cat,", "on", "sat", "the", "the\nmat"]
+
+
 def test_empty_table_and_tables_without_tokens(spark, models):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "▁")], "doc_id long, text string")
     assert [tuple(r) for r in A.linked(docs, models).orderBy("id").collect()] == [(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2, 2, 3)]

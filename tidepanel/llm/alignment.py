@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,15 @@ SHIFT = 15
 GROUP_PAIRS = 1 << 16
 #: So many of the commonest id pairs are broadcast with their counts at most; the others are joined by a shuffle.
 COMMON_PAIRS = 1 << 19
+#: A space that starts a word under both models, whatever is around it: no piece of the second has a space after
+#: another character, and the first's splitting rule starts a word at a space before a character that is none.
+WORD_START = re.compile(r"(?<=[^ ]) (?=\S)")
+#: Texts without this, and without a space before them, are cut at every space.
+OTHER_SPACE = re.compile(r" (?:\s|\Z)")
+#: Units (from one such space to the next) and their characters that a Python worker remembers.
+KNOWN_UNITS, KNOWN_CHARS = 400_000, 8_000_000
+#: Characters whose units are listed at once; bounds the memory of long texts.
+PART_CHARS = 1 << 20
 DOC_SCHEMA = "id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<int>, times array<int>"
 
 
@@ -80,8 +93,50 @@ def _spread(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
+def word_parts(text: str) -> Iterator[str]:
+    """A text in parts, cut at a space that starts a word and goes; nothing of the empty text."""
+    at = 0
+    while len(text) - at > PART_CHARS and (m := WORD_START.search(text, at + PART_CHARS)):
+        yield text[at : m.start()]
+        at = m.end()
+    if text:
+        yield text[at:]
+
+
+def units(text: str) -> list[str]:
+    """What lies between the spaces that start words; a text is its units with a space between each two."""
+    return WORD_START.split(text) if text.startswith(" ") or OTHER_SPACE.search(text) else text.split(" ")
+
+
+class Lists:
+    """Lists of integers, numbered as they are added."""
+
+    def __init__(self):
+        self.flat, self.ends, self.n = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = int(self.ends[self.n]), self.n + len(sizes)
+        if at + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:at], np.empty(at + len(flat), np.int32)])
+        if n + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends[: self.n + 1], np.zeros(n + 1, np.int64)])
+        self.flat[at : at + len(flat)] = flat
+        self.ends[self.n + 1 : n + 1] = at + np.cumsum(sizes)
+        self.n = n
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers one after the other, and their sizes."""
+        begin = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begin
+        return self.flat[np.repeat(begin, sizes) + _spread(sizes)], sizes
+
+
 class Aligner:
-    """Encodes texts by both models and aligns them."""
+    """Encodes texts by both models and aligns them.
+
+    Both models encode what lies between two spaces that start words the same wherever it stands, so such a unit is
+    encoded once and remembered by a number, to which its ids under either model belong.
+    """
 
     def __init__(self, models: Models):
         import sentencepiece
@@ -90,20 +145,60 @@ class Aligner:
             raise ValueError("an id pair of these models doesn't fit into 31 bits")
         self.a, self.b = bpe_codec.held(models.a), sentencepiece.SentencePieceProcessor(model_proto=models.b_model)
         self.bytes_a, self.bytes_b = self.a.surface, models.b_surface
+        self.forget()
         self.size_a, self.size_b = (np.array([len(s) for s in x], np.int32) for x in (self.bytes_a, self.bytes_b))
         # the number of each id with what follows it: inside a group's first ids, at their end, inside the second, at the group's end
         self.names = [f"{k}{after}" for size, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for k in range(size) for after in ends]
 
+    def forget(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.ids_a, self.ids_b, self.chars = Lists(), Lists(), 0
+
+    def _encode(self, words: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a space and each of these lists of units under both models; units not seen before are encoded together."""
+        if len(self.numbers) > KNOWN_UNITS or self.chars > KNOWN_CHARS:
+            self.forget()
+        n, sizes = self.ids_a.n, list(map(len, words))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        if len(self.numbers) > n:
+            new = list(islice(reversed(self.numbers), len(self.numbers) - n))[::-1]
+            self.ids_a.add(*bpe_codec.encode_listed(new, self.a))
+            lists = self.b.encode(new, num_threads=1)
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.ids_b.add(np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths)
+            self.chars += sum(map(len, new))
+        last = np.cumsum(sizes)
+        cut = []
+        for table in (self.ids_a, self.ids_b):
+            flat, per = table.of(numbers)
+            cut.append(np.split(flat, np.concatenate([[0], np.cumsum(per)])[last[:-1]]))
+        return list(zip(*cut, strict=True))
+
+    def encode(self, all_texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a space and each text under both models; none of empty texts."""
+        made: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in all_texts]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, part in chain(((k, part) for k, text in enumerate(all_texts) for part in word_parts(text)), [(-1, "")]):
+            if waiting and (k < 0 or size + len(part) > PART_CHARS):
+                for (at, _), ids in zip(waiting, self._encode([words for _, words in waiting]), strict=True):
+                    made[at].append(ids)
+                waiting, size = [], 0
+            waiting.append((k, units(part)))
+            size += len(part)
+        none = np.zeros(0, np.int32)
+        return [tuple(map(np.concatenate, zip(*ids, strict=True))) if len(ids) > 1 else ids[0] if ids else (none, none) for ids in made]
+
     def tokens(self, all_texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of a space and each text under both models; none if either does not give these bytes back."""
-        spaced = [" " + t for t in all_texts]
         out = []
         none = np.zeros(0, np.int32)
-        for text, raw, ids_b in zip(spaced, bpe_codec.encode_all(spaced, self.a, special=False), self.b.encode(all_texts, num_threads=1), strict=True):
-            ids_a, body = np.frombuffer(raw, np.int32), text.encode()
+        for text, (ids_a, ids_b) in zip(all_texts, self.encode(all_texts), strict=True):
+            body = (" " + text).encode()
             # byte-level ids are made of the text's own bytes, so their number tells
-            same = len(text) > 1 and int(self.size_a[ids_a].sum()) == len(body) and b"".join(map(self.bytes_b.__getitem__, ids_b)) == body
-            out.append((ids_a, np.array(ids_b, np.int32)) if same else (none, none))
+            same = len(text) > 0 and int(self.size_a[ids_a].sum()) == len(body) and b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == body
+            out.append((ids_a, ids_b) if same else (none, none))
         return out
 
     def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[int, int, str, np.ndarray, np.ndarray]:
@@ -142,6 +237,17 @@ class Aligner:
         return len(ends_a), int(times.sum()), text, pairs, times
 
 
+#: One aligner per two models in each Python worker, so that what is remembered outlives a task.
+_HELD: dict[bytes, Aligner] = {}
+
+
+def held(models: Models) -> Aligner:
+    key = models.a.digest + hashlib.sha1(models.b_model).digest()
+    if key not in _HELD:
+        _HELD[key] = Aligner(models)
+    return _HELD[key]
+
+
 def aligned(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_a, n_b, n_groups, n_links, groups, pairs, times)`` of every row.
 
@@ -152,12 +258,9 @@ def aligned(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
     and repeated rows give a row each; other columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)  # the model files' size bounds it
-    made: dict[int, Aligner] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made[0] = Aligner(shared.value)
-        both = made[0]
+        both = held(shared.value)
         for batch in slices(batches, 64):
             counts, named, pairs, times = [], [], [], []
             for ids_a, ids_b in both.tokens(texts(batch.column(1))):

@@ -237,6 +237,46 @@ def _word(word: str, v: Vocabulary) -> bytes:
     return ids
 
 
+def _word_ids(words: set[str], v: Vocabulary) -> dict[str, bytes]:
+    """The ids of each of these words; those not seen before are merged side by side."""
+    known = v.words
+    ids = {w: known.get(w) for w in words}
+    again = {w: v.older_words.get(w) for w, i in ids.items() if i is None}
+    need = [w for w, i in again.items() if i is None]
+    again.update(zip(need, merged(need, v), strict=True))
+    ids.update(again)
+    for w, i in again.items():
+        if len(w) <= WORD_CHARS:
+            if len(v.words) >= KNOWN_WORDS:  # what was used since the last change stays
+                v.older_words, v.words = v.words, {}
+            v.words[w] = i
+    return ids
+
+
+def encode_listed(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a space and each unit, one after the other, and how many each has; special tokens are plain text.
+
+    A unit without a space that starts with a character which is no white space has its words for itself wherever a
+    space is before it, so all such units are split as one text; a word with a space before it starts the next unit.
+    """
+    joint: tuple[list[int], list[int]] = [], []  # ASCII, others
+    words: list[list[str]] = [[] for _ in units]
+    for k, unit in enumerate(units):
+        if not unit or " " in unit or unit[0].isspace():
+            words[k] = v.words_of(" " + unit).findall(" " + unit)
+        else:
+            joint[not unit.isascii()].append(k)
+    for group in filter(None, joint):
+        text = "".join([" " + units[k] for k in group])
+        found = v.words_of(text).findall(text)
+        starts = [k for k, w in enumerate(found) if w[0] == " "]
+        for k, at, end in zip(group, starts, [*starts[1:], len(found)], strict=True):
+            words[k] = found[at:end]
+    ids = _word_ids(set(chain.from_iterable(words)), v)
+    flat = [b"".join(map(ids.__getitem__, x)) for x in words]
+    return np.frombuffer(b"".join(flat), np.int32), np.array([len(x) // 4 for x in flat], np.int64)
+
+
 def bounds(text: str) -> list[int]:
     """Where the chunks of a text end, in characters; none for the empty text.
 
@@ -287,17 +327,7 @@ def _learn(texts_and_ends: Iterable[tuple[str, list[int]]], v: Vocabulary) -> di
 
     def flush() -> None:
         nonlocal waiting
-        known = v.words
-        ids = {w: known.get(w) for w in set(chain.from_iterable(words for _, words in fresh.values()))}
-        again = {w: v.older_words.get(w) for w, i in ids.items() if i is None}
-        need = [w for w, i in again.items() if i is None]
-        again.update(zip(need, merged(need, v), strict=True))
-        ids.update(again)
-        for w, i in again.items():
-            if len(w) <= WORD_CHARS:
-                if len(v.words) >= KNOWN_WORDS:  # what was used since the last change stays
-                    v.older_words, v.words = v.words, {}
-                v.words[w] = i
+        ids = _word_ids(set(chain.from_iterable(words for _, words in fresh.values())), v)
         for chunk, (at, words) in fresh.items():
             out[chunk] = at, b"".join(map(ids.__getitem__, words))
             _keep(chunk, out[chunk], v)

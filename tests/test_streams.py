@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from tidepanel.operators import lots
@@ -71,3 +72,68 @@ def test_fills_that_cannot_be_matched_and_late_ones_are_left_out(spark, tmp_path
     assert found(ledger.run(stream(spark, tmp_path / "in"), base)) == []
     land(spark, tmp_path / "in", "b", [(1, 1, at(2), day, 7, "SELL", 1.0, 5.0), (1, 1, at(8), day, 8, "SELL", 1.0, 800.0), (3, 1, at(20), day, 9, "BUY", 1.0, 5.0)])
     assert found(ledger.run(stream(spark, tmp_path / "in"), base)) == [(1, day, 8, "day", -100.0, -100.0)]
+
+
+def test_accounts_that_share_a_key_do_not_touch_each_other(spark, tmp_path):
+    rng = random.Random(7)
+    names = [*range(-70, -60), *range(60, 70), 1 << 40]
+    rows = [(rng.choice(names), *r[1:]) for r in fills(1500, 9)]
+    blocks = [rows[k : k + 300] for k in range(0, len(rows), 300)]
+    for k, b in enumerate(blocks):
+        land(spark, tmp_path / "in", f"f{k}", b + b[-5:])
+    table = spark.createDataFrame([r for r in rows if r[2] <= rows[-1][2] - dt.timedelta(hours=2)], SCHEMA)
+    want = found(breaker.first_breaches(lots.sales(lots.match_lots(table)), 400.0))
+    assert len(want) >= 4 and len({r[0] >> breaker.SHARED_BITS for r in want}) >= 3
+    assert found(ledger.run(stream(spark, tmp_path / "in"), str(tmp_path / "s"))) == want
+
+
+class Counted:
+    """A state variable or the handle itself, in memory, that counts calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers, self.parts = 0, None, [], []
+
+    def _part(self, *_):
+        self.parts.append(Counted())
+        return self.parts[-1]
+
+    getListState = getValueState = getMapState = _part  # noqa: N815
+
+    def _call(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    update = put = _call
+
+    def appendList(self, values):  # noqa: N802
+        self._call((self.value or []) + values)
+
+    def clear(self):
+        self._call(None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 1 << 50
+
+
+def test_calls_of_the_state_do_not_grow_with_fills_and_accounts_of_a_key():
+    def calls(accounts, n):
+        handle, one = Counted(), breaker.Breaker(1e9)
+        one.init(handle)
+        rows = [(a, 1000 * k, a * n + k, k % 3, k // 10, k % 2 == 0, 2.0, 10.0 + k % 5) for a in range(accounts) for k in range(n)]
+        part = pd.DataFrame(rows, columns=["account", "us", "fill_id", "ticker", "day", "buy", "qty", "price"])
+        assert list(one.handleInputRows((0,), iter([part]), handle)) == [] and handle.timers == [0]
+        assert list(one.handleExpiredTimer((0,), handle, None)) == []
+        return handle.calls + sum(p.calls for p in handle.parts)
+
+    assert calls(1, 4) == calls(64, 40) < 20

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +20,11 @@ SHORT_MASK = "111"
 LONG_WORDS, SHORT_WORDS, LEAST_WORDS = 8, 6, 3
 WINDOW_WORDS = 13
 SIMILARITY = 0.8
-#: Up to so many bytes of benchmark seeds (each with its item's words) go to every executor; beyond, the join is shuffled.
+#: Up to so many bytes of benchmark seeds (each with the words around it) go to every executor; beyond, the seeds
+#: alone, which tell the documents' seeds that are shuffled; beyond that, all of those are.
 MAX_BROADCAST_BYTES = 32 << 20
+#: Flags of equal words in one integer.
+BITS = 9
 
 
 def masks_of(n: Column) -> list[tuple[str, Column]]:
@@ -47,6 +54,28 @@ def _seeds(rows: DataFrame, masks: dict[int, tuple[str, Column | None]]) -> Data
     return each.filter("seed is not null").drop("_word")
 
 
+def _around(window: int) -> Column:
+    """The words that share a window with the one at ``at``, null beyond the text's ends: a row of fixed size, however long the text."""
+    return F.array(*[F.get("words", F.col("at") + k) for k in range(1 - window, window)])
+
+
+def _most_equal(window: int, word: Callable[[int], Column]) -> Column:
+    """The most words that a document and ``item`` have in common in a window around a hit; ``word(k)`` is the document's k words on.
+
+    Equal words are bits of integers, ``BITS`` in each; those beyond the ends are never equal. An integer stands in all
+    windows' counts, so Spark computes it once and in a method of its own: one for all would be too long to be compiled.
+    """
+    equal = [F.when(word(k) == F.get("item", F.lit(window - 1 + k)), F.lit(1 << (window - 1 + k) % BITS).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(1 - window, window)]
+    parts = [reduce(Column.bitwiseOR, equal[k : k + BITS]) for k in range(0, len(equal), BITS)]
+
+    def equal_from(start: int) -> Column:
+        taken = ((1 << window) - 1) << start
+        masks = [(taken >> n * BITS) & ((1 << BITS) - 1) for n in range(len(parts))]
+        return reduce(add, (F.bit_count(part.bitwiseAND(F.lit(m).cast("long"))) for part, m in zip(parts, masks, strict=True) if m))
+
+    return F.greatest(*map(equal_from, range(window))) if window > 1 else equal_from(0)
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, similarity: float = SIMILARITY, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, doc_hash, item_id, matched, window)``: benchmark items that a document holds, aligned word by word.
 
@@ -63,29 +92,27 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     item_rows = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("words")).distinct()
     masks = masks_of(F.size("words"))
     needed = [F.coalesce(F.bool_or(served), F.lit(False)).alias(f"m{k}") for k, (_, served) in enumerate(masks)]
-    # a position of an item gives a seed for each of three masks at most, and each carries the item's words
-    about = item_rows.agg(F.coalesce(F.sum(F.size("words").cast("long") * len(MASKS) * (F.size("words") * 8 + 40)), F.lit(0)).alias("bytes"), *needed).first()
+    # a position of an item gives a seed for each of three masks at most, and each carries the words around it
+    seeds = F.sum(F.size("words").cast("long") * len(MASKS))
+    about = item_rows.agg(F.coalesce(seeds, F.lit(0)).alias("seeds"), *needed).first()
     used = {k: m for k, m in enumerate(masks) if about[f"m{k}"]} or {0: masks[0]}
-    item_seeds = _seeds(item_rows, used).select("seed", "item_id", F.col("words").alias("item"), F.col("at").alias("item_at"))
+    size = F.least(F.lit(window), F.size("words")).alias("window")
+    item_seeds = _seeds(item_rows, used).select("seed", "item_id", size, _around(window).alias("item"))
     doc_rows = docs.select(F.col(id_col).alias("doc_id"), doc_hash(id_col, text_col).alias("doc_hash"), word_hashes(F.col(text_col)).alias("words"))
     doc_seeds = _seeds(doc_rows, {k: (m, None) for k, (m, _) in used.items()})
-    if about["bytes"] <= max_broadcast:
+    word = lambda k: F.get("words", F.col("at") + k)
+    if about["seeds"] * (16 * window + 80) <= max_broadcast:
         hits = doc_seeds.join(F.broadcast(item_seeds), "seed")
+    elif about["seeds"] * 24 <= max_broadcast:  # of the documents' seeds, only those that some item has are shuffled
+        met = doc_seeds.join(F.broadcast(item_seeds.select("seed").distinct()), "seed", "left_semi")
+        hits = met.select("seed", "doc_id", "doc_hash", _around(window).alias("near")).join(item_seeds, "seed")
+        word = lambda k: F.get("near", F.lit(window - 1 + k))
     else:  # the words follow the hits, not every seed
-        found = doc_seeds.select("seed", "doc_id", "doc_hash", "at").join(item_seeds.drop("item").distinct(), "seed")
-        words = item_rows.select(F.col("item_id").alias("of_item"), F.col("words").alias("item"))
-        hits = found.join(words, F.col("item_id").eqNullSafe(F.col("of_item")))
-        hits = hits.join(doc_rows.select("doc_hash", "words").dropDuplicates(["doc_hash"]), "doc_hash")
-    size = F.least(F.lit(window), F.size("item"))
-    hits = hits.withColumn("size", size).withColumn("first", F.greatest(F.lit(0), F.col("item_at") - size + 1))
-
-    def equal_from(start: Column) -> Column:
-        meets = F.filter(F.sequence(start, start + F.col("size") - 1), lambda k: F.get("item", k) == F.get("words", F.col("at") - F.col("item_at") + k))
-        return F.size(meets)
-
-    best = F.array_max(F.transform(F.sequence("first", "item_at"), equal_from))
-    # filtered after the aggregation: before it, the test would move into the join and end its generated code
-    most = hits.select("doc_id", "doc_hash", "item_id", best.alias("matched"), F.col("size").alias("window")).groupBy("doc_id", "doc_hash", "item_id", "window").agg(F.max("matched").alias("matched"))
+        found = doc_seeds.select("seed", "doc_id", "doc_hash", "at").join(item_seeds, "seed")
+        hits = found.join(doc_rows.select("doc_hash", "words").dropDuplicates(["doc_hash"]), "doc_hash")
+    # all in generated code up to the aggregation: a row of a hit, with its document's words, is never made
+    # filtered after the aggregation: before it, the test would move into the join
+    most = hits.select("doc_id", "doc_hash", "item_id", "window", _most_equal(window, word).alias("matched")).groupBy("doc_id", "doc_hash", "item_id", "window").agg(F.max("matched").alias("matched"))
     need = F.when(F.col("window") < SHORT_WORDS, F.col("window")).otherwise(F.lit(similarity) * F.col("window"))
     return most.filter(F.col("matched") >= need).select("doc_id", "doc_hash", "item_id", "matched", "window")
 

@@ -160,3 +160,47 @@ def test_sketches_hold_at_the_bound_of_the_similarity(spark):
     df = spark.createDataFrame(rows, "like boolean, a array<long>, b array<long>")
     assert similar > 100 and df.filter("like").filter(~N.may_be_similar("a", "b")).count() == 0
     assert df.filter("not like").filter(~N.may_be_similar("a", "b")).count() > 50
+
+
+def test_all_pairs_of_large_bands_cross_roots(spark):
+    """80 nodes of different roots share all bands: each got three partners of 79."""
+    rows = [(k, k, list(range(16))) for k in range(80)]
+    got = [(r["u"], r["v"]) for r in N.rest(spark.createDataFrame(rows, "node long, root long, bands array<long>"), 10, 7).collect()]
+    assert sorted(got) == list(itertools.combinations(range(80), 2))
+
+
+def test_a_large_band_with_a_main_root_is_compared_across_roots_only(spark):
+    rng = random.Random(2)
+    root = {k: rng.choice([0, 0, 0, 0, 1, 2, 100 + k]) for k in range(150)}
+    bands = {k: [k % 2, 7, 1000 + k // 9] for k in root}
+    rows = [(k, root[k], bands[k]) for k in root]
+    want = {(u, v) for u, v in itertools.combinations(root, 2) if root[u] != root[v]}
+    for block in (1, 4, 10, 1000):
+        got = [(r["u"], r["v"]) for r in N.rest(spark.createDataFrame(rows, "node long, root long, bands array<long>"), 20, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    one = spark.createDataFrame([(k, 5, [1, 2]) for k in range(50)] + [(k, k, [9]) for k in range(60, 70)], "node long, root long, bands array<long>")
+    assert N.rest(one, 20).collect() == []
+
+
+def template_rows(seed, pairs):
+    """Pairs at a similarity of 0.8 to 0.86; two texts of different pairs have 0.72 to 0.78, and share most of their bands with over 64 others."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(220)]
+    rows = []
+    for k in range(pairs):
+        at = rng.randrange(5, 25)
+        one = [*base[:at], *(f"u{k}x{j}" for j in range(26)), *base[at + 26 :]]
+        two = list(one)
+        for j in rng.sample(range(60, 210, 10), 3):
+            two[j] = f"v{k}"
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    return rows
+
+
+def test_pairs_that_share_large_bands_only_are_found(spark):
+    rows = template_rows(7, 220)
+    kept = {r["doc_id"] for r in N.drop_near_copies(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)).collect()}
+    sets = [grams(t) for _, t in rows]
+    like = [k for k in range(0, len(rows), 2) if 9 * len(sets[k] & sets[k + 1]) >= 4 * (len(sets[k]) + len(sets[k + 1]))]
+    assert len(like) > 200 and not [k for k in like if {k, k + 1} <= kept]
+    assert kept <= set(brute_kept(rows)) and len(kept) > 150  # fingerprints link a few more
